@@ -19,6 +19,7 @@ the reference does with ``.round(2)`` and ``fillna(0)``.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -53,37 +54,61 @@ def _zero_small(c: Column) -> Column:
     return F.when(F.abs(c) < FP_ERR, F.lit(0.0)).otherwise(c)
 
 
-def group_stats(df: DataFrame, keys: Sequence[str], value: str,
-                stats: Sequence[str] = ALL_STATS, name_value: str | None = None,
-                digits: int = 2) -> DataFrame:
-    """Per-key statistics of ``value`` (nulls skipped), one row per key.
-
-    Columns are named ``{value}_{key1_key2..}_{stat}``."""
-    keys = list(keys)
-    nv = name_value or value
-    v = F.col(value)
+def explode_groupings(df: DataFrame, groupings: Sequence[Sequence[str]],
+                      carry: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+    """One row per (input row, grouping): ``_g`` = grouping index, every key
+    column of any grouping (null where the grouping does not use it), plus
+    the ``carry`` columns. Spark's GROUPING SETS has the same shape
+    (Expand); the aggregate right after it is combined map-side, so the
+    shuffle carries distinct (grouping, key, value) combinations only."""
+    all_keys: list[str] = []
+    for g in groupings:
+        for k in g:
+            if k not in all_keys:
+                all_keys.append(k)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    structs = [F.struct(F.lit(i).alias("_g"),
+                        *[(F.col(k) if k in g else F.lit(None).cast(types[k])).alias(k) for k in all_keys])
+               for i, g in enumerate(groupings)]
+    step = df.select(F.explode(F.array(*structs)).alias("_s"), *carry)
+    long = step.select("_s.*", *[c for c in step.columns if c != "_s"])
+    return long, all_keys
+
+
+def null_safe_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]):
+    return [left[k].eqNullSafe(right[k]) for k in keys]
+
+
+def multi_group_stats(df: DataFrame, groupings: Sequence[Sequence[str]], value: str,
+                      stats: Sequence[str] = ALL_STATS, digits: int = 2) -> DataFrame:
+    """Statistics of ``value`` for every grouping at once, in long form:
+    ``_g``, all key columns, and one column per statistic (named by the
+    statistic). ``split_groupings`` turns it into per-grouping tables."""
+    dtype = df.schema[value].dataType
     # Decimal values with as many decimals as the output: the median is
     # taken over integer units, so a midpoint tie (x.xx5) is exact in every
     # engine and then rounded half-to-even.
-    dtype = df.schema[value].dataType
     units = 10 ** dtype.scale if isinstance(dtype, DecimalType) and dtype.scale == digits else None
-    freq = (df.filter(v.isNotNull()).groupBy(*keys, v.alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_freq")))
+    long, keys = explode_groupings(df.filter(F.col(value).isNotNull()), groupings,
+                                   [F.col(value).alias("_v")])
+    gk = ["_g", *keys]
+    freq = long.groupBy(*gk, "_v").agg(F.count(F.lit(1)).alias("_freq"))
     vv, n = F.col("_v"), F.col("_freq")
-    base = freq.groupBy(*keys).agg(
+    base = freq.groupBy(*gk).agg(
         F.sum(n).alias("_tot"), F.sum(n * vv).alias("_S"),
         F.min(vv).alias("_min"), F.max(vv).alias("_max"),
         F.percentile((vv * units).cast("long") if units else vv, 0.5, n).alias("_median"))
     mean = F.col("_S").cast("double") / F.col("_tot")
     need_dev = any(s in stats for s in ("std", "mad", "skew"))
     if need_dev:
-        dx = vv.cast("double") - F.col("_mean")
-        dev = (freq.join(base.select(*keys, "_tot", "_S", mean.alias("_mean")), keys)
-                   .groupBy(*keys)
-                   .agg(F.sum(n * F.abs(F.col("_tot") * vv - F.col("_S"))).alias("_A"),
-                        F.sum(n * dx * dx).alias("_M2"),
-                        F.sum(n * dx * dx * dx).alias("_M3")))
-        base = base.join(dev, keys)
+        b = base.select(*gk, F.col("_tot").alias("_T"), F.col("_S").alias("_SS"), mean.alias("_mean"))
+        j = freq.join(b, null_safe_keys(freq, b, gk)).select(freq["*"], "_T", "_SS", "_mean")
+        dx = F.col("_v").cast("double") - F.col("_mean")
+        dev = (j.groupBy(*gk)
+                .agg(F.sum(F.col("_freq") * F.abs(F.col("_T") * F.col("_v") - F.col("_SS"))).alias("_A"),
+                     F.sum(F.col("_freq") * dx * dx).alias("_M2"),
+                     F.sum(F.col("_freq") * dx * dx * dx).alias("_M3")))
+        base = base.join(dev, null_safe_keys(base, dev, gk)).select(base["*"], "_A", "_M2", "_M3")
     N = F.col("_tot")
     exprs = {
         "mean": mean,
@@ -102,8 +127,52 @@ def group_stats(df: DataFrame, keys: Sequence[str], value: str,
     rounded = {s: round_half_even(e, digits) for s, e in exprs.items()}
     if units:
         rounded["median"] = F.rint(F.col("_median")) / F.lit(float(units))
-    out = [F.coalesce(rounded[s], F.lit(0.0)).alias(stat_name(nv, keys, s)) for s in stats]
-    return base.select(*keys, *out)
+    return base.select(*gk, *[F.coalesce(rounded[s], F.lit(0.0)).alias(s) for s in stats])
+
+
+_LONG_SINK: list = []
+
+
+@contextmanager
+def long_table_sink(fn):
+    """While active, every long table is passed through ``fn`` (e.g. written
+    to the checkpoint folder) before it is split into per-grouping tables,
+    so all groupings of a family share one computed result."""
+    _LONG_SINK.append(fn)
+    try:
+        yield
+    finally:
+        _LONG_SINK.pop()
+
+
+def split_groupings(long: DataFrame, groupings: Sequence[Sequence[str]],
+                    rename) -> list[tuple[list[str], DataFrame]]:
+    """Per-grouping tables from a long table: rows of grouping i, its key
+    columns, and the value columns renamed by ``rename(keys, col)`` (None
+    drops the column)."""
+    if _LONG_SINK:
+        long = _LONG_SINK[-1](long)
+    value_cols = [c for c in long.columns if c != "_g" and not any(c in g for g in groupings)]
+    out = []
+    for i, g in enumerate(groupings):
+        sel = [F.col(k) for k in g]
+        for c in value_cols:
+            name = rename(list(g), c)
+            if name is not None:
+                sel.append(F.col(c).alias(name))
+        out.append((list(g), long.filter(F.col("_g") == i).select(*sel)))
+    return out
+
+
+def group_stats(df: DataFrame, keys: Sequence[str], value: str,
+                stats: Sequence[str] = ALL_STATS, name_value: str | None = None,
+                digits: int = 2) -> DataFrame:
+    """Per-key statistics of ``value`` (nulls skipped), one row per key.
+
+    Columns are named ``{value}_{key1_key2..}_{stat}``."""
+    nv = name_value or value
+    long = multi_group_stats(df, [list(keys)], value, stats, digits)
+    return split_groupings(long, [list(keys)], lambda g, c: stat_name(nv, g, c))[0][1]
 
 
 def add_group_stats(df: DataFrame, keys: Sequence[str], value: str,

@@ -15,7 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.functions.aggregates import attribute_subsets, group_stats
+from basketry.functions.aggregates import (attribute_subsets, explode_groupings, group_stats,
+                                          multi_group_stats, split_groupings, stat_name)
 from basketry.functions.columns import AGE_EDGES, REG_AGE_EDGES, bin_code, round_half_even
 
 # Attribute orders used by the reference for naming (fixed values).
@@ -50,36 +51,66 @@ def date_parts(df: DataFrame) -> DataFrame:
     return df.withColumns({c: cols[c] for c in ordered})
 
 
+# -- per-key feature tables ----------------------------------------------------
+# Every family below is a list of (join keys, table) pairs computed from one
+# base frame; ``join_tables`` attaches them. Keeping the tables separate lets
+# the build plan write each one once and let the planner broadcast the ones
+# whose measured size is small.
+
+KeyedTable = tuple[list[str], DataFrame]
+
+
+def join_tables(df: DataFrame, tables: Sequence[KeyedTable]) -> DataFrame:
+    for keys, t in tables:
+        df = df.join(t, keys, "left")
+    return df
+
+
 # -- A16, A17 ------------------------------------------------------------------
 
-def order_totals(df: DataFrame) -> DataFrame:
-    """Items per order, order total and average item price (rounded 2)."""
+def order_totals_table(df: DataFrame) -> list[KeyedTable]:
     t = df.groupBy("order_id").agg(_count().alias("order_item_count"),
                                    F.sum("item_price").cast("double").alias("order_sum"))
     t = t.withColumn("average_item_price_order",
                      round_half_even(F.col("order_sum") / F.col("order_item_count"), 2))
-    return df.join(t, "order_id", "left")
+    return [(["order_id"], t)]
+
+
+def order_totals(df: DataFrame) -> DataFrame:
+    """Items per order, order total and average item price (rounded 2)."""
+    return join_tables(df, order_totals_table(df))
+
+
+def multi_count(df: DataFrame, groupings: Sequence[Sequence[str]]) -> DataFrame:
+    """Row counts for many groupings in one pass (long form: ``_g``, keys, ``n``)."""
+    long, keys = explode_groupings(df, groupings)
+    return long.groupBy("_g", *keys).agg(_count().alias("n"))
+
+
+def same_item_tables(df: DataFrame, attrs: Sequence[str] = ITEM_ATTRS) -> list[KeyedTable]:
+    subsets = attribute_subsets(attrs, range(1, len(attrs) + 1))
+    groupings = [["order_id", *s] for s in subsets]
+    return split_groupings(multi_count(df, groupings), groupings,
+                           lambda g, c: "order_number_same_" + "_".join(g[1:]))
+
+
+def same_item_post(df: DataFrame, attrs: Sequence[str] = ITEM_ATTRS) -> DataFrame:
+    return df.withColumns({
+        "order_number_different_" + "_".join(s):
+            F.col("order_item_count") - F.col("order_number_same_" + "_".join(s))
+        for s in attribute_subsets(attrs, range(1, len(attrs) + 1))})
 
 
 def same_item_counts(df: DataFrame, attrs: Sequence[str] = ITEM_ATTRS) -> DataFrame:
     """For each attribute subset s: rows of the order sharing the row's
     values of s (``order_number_same_{s}``) and the rest of the order
     (``order_number_different_{s}``). Needs ``order_item_count``."""
-    base = df
-    for s in attribute_subsets(attrs, range(1, len(attrs) + 1)):
-        name = "order_number_same_" + "_".join(s)
-        t = base.groupBy("order_id", *s).agg(_count().alias(name))
-        df = df.join(t, ["order_id", *s], "left")
-        df = df.withColumn("order_number_different_" + "_".join(s),
-                           F.col("order_item_count") - F.col(name))
-    return df
+    return same_item_post(join_tables(df, same_item_tables(df, attrs)), attrs)
 
 
 # -- A18-A20 -------------------------------------------------------------------
 
-def order_nunique(df: DataFrame) -> DataFrame:
-    """Distinct items/sizes/brands/colours per order, per (order, item) and
-    per (order, brand)."""
+def order_nunique_tables(df: DataFrame) -> list[KeyedTable]:
     a = df.groupBy("order_id").agg(
         F.count_distinct("item_id").alias("order_item_id_nunique"),
         F.count_distinct("size").alias("order_size_nunique"),
@@ -92,68 +123,115 @@ def order_nunique(df: DataFrame) -> DataFrame:
         F.count_distinct("item_color").alias("order_brand_id_color_nunique"),
         F.count_distinct("size").alias("order_brand_id_size_nunique"),
         F.count_distinct("item_id").alias("order_brand_id_item_id_nunique"))
-    return (df.join(a, "order_id", "left").join(b, ["order_id", "item_id"], "left")
-              .join(c, ["order_id", "brand_id"], "left"))
+    return [(["order_id"], a), (["order_id", "item_id"], b), (["order_id", "brand_id"], c)]
+
+
+def order_nunique(df: DataFrame) -> DataFrame:
+    """Distinct items/sizes/brands/colours per order, per (order, item) and
+    per (order, brand)."""
+    return join_tables(df, order_nunique_tables(df))
 
 
 # -- A21, P28 ------------------------------------------------------------------
+PRICE_KEYS = ("item_id", "user_id", "brand_id")
 
-def price_stats(df: DataFrame, keys: Sequence[str] = ("item_id", "user_id", "brand_id")) -> DataFrame:
-    """Eight price statistics per item, user and brand, then
-    ``price-<stat col>`` = stat - item_price for every min/max/mean column."""
-    diffs = []
-    base = df
-    for k in keys:
-        df = df.join(group_stats(base, [k], "item_price", PRICE_STATS), k, "left")
-        diffs += [f"item_price_{k}_{s}" for s in PRICE_STATS if s in ("mean", "min", "max")]
+
+def price_stat_tables(df: DataFrame, keys: Sequence[str] = PRICE_KEYS) -> list[KeyedTable]:
+    groupings = [[k] for k in keys]
+    long = multi_group_stats(df, groupings, "item_price", PRICE_STATS)
+    return split_groupings(long, groupings, lambda g, c: stat_name("item_price", g, c))
+
+
+def price_diff_post(df: DataFrame, keys: Sequence[str] = PRICE_KEYS) -> DataFrame:
+    """``price-<col>`` = col - item_price for every min/max/mean price column."""
+    diffs = [f"item_price_{k}_{s}" for k in keys for s in PRICE_STATS if s in ("mean", "min", "max")]
     price = F.col("item_price").cast("double")
     return df.withColumns({f"price-{c}": F.col(c) - price for c in diffs})
 
 
+def price_stats(df: DataFrame, keys: Sequence[str] = PRICE_KEYS) -> DataFrame:
+    """Eight price statistics per item, user and brand, then the diffs."""
+    return price_diff_post(join_tables(df, price_stat_tables(df, keys)), keys)
+
+
 # -- A25 -----------------------------------------------------------------------
+MODE_COLS = ("item_id", "size", "brand_id", "item_color")
 
-def user_modes(df: DataFrame, cols: Sequence[str] = ("item_id", "size", "brand_id", "item_color")) -> DataFrame:
+
+def user_mode_tables(df: DataFrame, cols: Sequence[str] = MODE_COLS) -> list[KeyedTable]:
+    return [(["user_id"], df.groupBy("user_id").agg(
+        *[F.mode(c, deterministic=True).alias(f"mode_{c}") for c in cols]))]
+
+
+def user_modes(df: DataFrame, cols: Sequence[str] = MODE_COLS) -> DataFrame:
     """Most frequent item, size, brand and colour per user; ties -> smallest
     value. ``mode`` keeps a value->count map per group (partial aggregate)."""
-    t = df.groupBy("user_id").agg(*[F.mode(c, deterministic=True).alias(f"mode_{c}") for c in cols])
-    return df.join(t, "user_id", "left")
+    return join_tables(df, user_mode_tables(df, cols))
 
 
 # -- A26 -----------------------------------------------------------------------
+DELIVERY_KEYS = ("item_id", "size", "brand_id", "item_color", "user_id")
+
 
-def delivery_stats(df: DataFrame, keys: Sequence[str] = ("item_id", "size", "brand_id", "item_color", "user_id"),
+def delivery_stat_tables(df: DataFrame, keys: Sequence[str] = DELIVERY_KEYS,
+                         stats: Sequence[str] = DELIVERY_STATS) -> list[KeyedTable]:
+    groupings = [[k] for k in keys]
+    long = multi_group_stats(df, groupings, "delivery_time", stats)
+    return split_groupings(long, groupings, lambda g, c: stat_name("delivery_time", g, c))
+
+
+def all_delivery_tables(binned: DataFrame) -> list[KeyedTable]:
+    """A26 + A28 + A29 in one expansion: 5 single keys (6 statistics), 6
+    bin/weekday keys, 14 pairs and 16 triples (7 statistics each)."""
+    single = [[k] for k in DELIVERY_KEYS]
+    groupings = (single + [[k] for k in BIN_COLUMNS + ["order_weekday", "delivery_weekday"]]
+                 + attribute_subsets(INTERACTION_ATTRS, [2]) + attribute_subsets(INTERACTION_ATTRS, [3]))
+    long = multi_group_stats(binned, groupings, "delivery_time", DELIVERY_STATS7)
+
+    def name(g, c):
+        if c == "skew" and g in single:
+            return None
+        return stat_name("delivery_time", g, c)
+    return split_groupings(long, groupings, name)
+
+
+def delivery_stats(df: DataFrame, keys: Sequence[str] = DELIVERY_KEYS,
                    stats: Sequence[str] = DELIVERY_STATS) -> DataFrame:
-    base = df
-    for k in keys:
-        df = df.join(group_stats(base, [k], "delivery_time", stats), k, "left")
-    return df
+    return join_tables(df, delivery_stat_tables(df, keys, stats))
 
 
 # -- W1-W3, A27 ----------------------------------------------------------------
 
 def _gap_table(df: DataFrame, keys: Sequence[str], date_col: str, name: str) -> DataFrame:
     """Distinct (keys, date) rows with days since the previous distinct date
-    of the same keys (null on the first)."""
+    of the same keys (null on the first). The window runs on the distinct
+    table, whose rows per key are bounded by the number of days."""
     days = df.select(*keys, date_col).distinct()
     w = Window.partitionBy(*keys).orderBy(date_col)
     return days.withColumn(name, F.datediff(F.col(date_col), F.lag(date_col).over(w)))
 
 
+def recency_tables(df: DataFrame, date_col: str = "order_date", kind: str = "order",
+                   attrs: Sequence[str] = ITEM_ATTRS, stats: Sequence[str] = RECENCY_STATS) -> list[KeyedTable]:
+    name = f"days_since_last_{kind}"
+    gaps = _gap_table(df, ["user_id"], date_col, name)
+    st = group_stats(gaps, ["user_id"], name, stats)
+    out = [(["user_id", date_col], gaps.join(st, "user_id", "left").fillna(0))]
+    subsets = attribute_subsets(attrs, range(1, len(attrs) + 1))
+    groupings = [["user_id", *s, date_col] for s in subsets]
+    long, keys = explode_groupings(df, groupings)
+    part = ["_g"] + [k for k in keys if k != date_col]
+    w = Window.partitionBy(*part).orderBy(date_col)
+    gl = long.distinct().withColumn(
+        "gap", F.coalesce(F.datediff(F.col(date_col), F.lag(date_col).over(w)), F.lit(0)))
+    return out + split_groupings(gl, groupings, lambda g, c: f"{name}_same_" + "_".join(g[1:-1]))
+
+
 def recency_features(df: DataFrame, date_col: str = "order_date", kind: str = "order",
                      attrs: Sequence[str] = ITEM_ATTRS, stats: Sequence[str] = RECENCY_STATS) -> DataFrame:
     """``days_since_last_{kind}`` per user (0 on the first), its per-user
     statistics, and ``days_since_last_{kind}_same_{s}`` per (user, subset)."""
-    name = f"days_since_last_{kind}"
-    gaps = _gap_table(df, ["user_id"], date_col, name)
-    st = group_stats(gaps, ["user_id"], name, stats)
-    user_tbl = gaps.join(st, "user_id", "left").fillna(0)
-    base = df
-    df = df.join(user_tbl, ["user_id", date_col], "left")
-    for s in attribute_subsets(attrs, range(1, len(attrs) + 1)):
-        n = f"{name}_same_" + "_".join(s)
-        g = _gap_table(base, ["user_id", *s], date_col, n).fillna(0, subset=[n])
-        df = df.join(g, ["user_id", *s, date_col], "left")
-    return df
+    return join_tables(df, recency_tables(df, date_col, kind, attrs, stats))
 
 
 # -- P33, P34, A28 -------------------------------------------------------------
@@ -186,81 +264,106 @@ def add_bins(df: DataFrame) -> DataFrame:
 BIN_COLUMNS = ["order_sum_bins", "item_price_bins", "age_bins", "reg_age_bins"]
 
 
+def binned_stat_tables(binned: DataFrame) -> list[KeyedTable]:
+    return [([k], group_stats(binned, [k], "delivery_time", DELIVERY_STATS7))
+            for k in BIN_COLUMNS + ["order_weekday", "delivery_weekday"]]
+
+
 def binned_delivery_stats(df: DataFrame) -> DataFrame:
     """Delivery-time statistics (7) per bin column and per order/delivery
     weekday; the bin columns are dropped afterwards."""
     df = add_bins(df)
-    base = df
-    for k in BIN_COLUMNS + ["order_weekday", "delivery_weekday"]:
-        df = df.join(group_stats(base, [k], "delivery_time", DELIVERY_STATS7), k, "left")
-    return df.drop(*BIN_COLUMNS)
+    return join_tables(df, binned_stat_tables(df)).drop(*BIN_COLUMNS)
 
 
 # -- A29 -----------------------------------------------------------------------
 
+def interaction_tables(df: DataFrame, attrs: Sequence[str] = INTERACTION_ATTRS,
+                       sizes: Sequence[int] = (2, 3)) -> list[KeyedTable]:
+    return [(s, group_stats(df, s, "delivery_time", DELIVERY_STATS7)) for s in attribute_subsets(attrs, sizes)]
+
+
 def interaction_stats(df: DataFrame, attrs: Sequence[str] = INTERACTION_ATTRS,
                       sizes: Sequence[int] = (2, 3)) -> DataFrame:
     """Delivery-time statistics (7) for every attribute pair and triple."""
-    base = df
-    for s in attribute_subsets(attrs, sizes):
-        df = df.join(group_stats(base, s, "delivery_time", DELIVERY_STATS7), s, "left")
-    return df
+    return join_tables(df, interaction_tables(df, attrs, sizes))
 
 
 # -- A30, W4, W5 ---------------------------------------------------------------
 
-def _running_table(df: DataFrame, keys: Sequence[str], total: str | None, running: str) -> DataFrame:
-    """Per (keys, order_date): rows up to and including that day; optional
-    total per keys. Pre-aggregated to one row per (keys, day) first."""
+def _running_table(df: DataFrame, keys: Sequence[str], running: str) -> DataFrame:
+    """Per (keys, order_date): rows up to and including that day. One row
+    per (keys, day) is built first; the running sum runs on that table."""
     daily = df.groupBy(*keys, "order_date").agg(_count().alias("_c"))
     w = Window.partitionBy(*keys).orderBy("order_date").rowsBetween(Window.unboundedPreceding, 0)
-    out = daily.withColumn(running, F.sum("_c").over(w))
-    if total:
-        out = out.withColumn(total, F.sum("_c").over(Window.partitionBy(*keys)))
-    return out.drop("_c")
+    return daily.withColumn(running, F.sum("_c").over(w)).drop("_c")
+
+
+def user_count_tables(df: DataFrame, attrs: Sequence[str] = USER_ATTRS) -> list[KeyedTable]:
+    subsets = [[]] + attribute_subsets(attrs, range(1, len(attrs) + 1))
+    totals = [["user_id", *s] for s in subsets]
+    out = split_groupings(multi_count(df, totals), totals,
+                          lambda g, c: "_".join(["user_id", *g[1:], "total_items_ordered"]))
+    days = [["user_id", *s, "order_date"] for s in subsets]
+    daily = multi_count(df, days)
+    part = ["_g"] + [k for k in daily.columns if k not in ("_g", "order_date", "n")]
+    w = Window.partitionBy(*part).orderBy("order_date").rowsBetween(Window.unboundedPreceding, 0)
+    running = daily.withColumn("cum", F.sum("n").over(w)).drop("n")
+
+    def rname(g, c):
+        s = g[1:-1]
+        return "user_id_total_items_ordered_cumsum" if not s else "user_id_" + "_".join(s) + "_cumsum_items_ordered"
+    run = split_groupings(running, days, rname)
+    # ledger order: user total, user running count, subset totals, subset running counts
+    return [out[0], run[0]] + out[1:] + run[1:]
 
 
 def user_counts(df: DataFrame, attrs: Sequence[str] = USER_ATTRS) -> DataFrame:
     """Items per user and per (user, subset), and running counts per day."""
-    base = df
-    t = base.groupBy("user_id").agg(_count().alias("user_id_total_items_ordered"))
-    df = df.join(t, "user_id", "left")
-    r = _running_table(base, ["user_id"], None, "user_id_total_items_ordered_cumsum")
-    df = df.join(r, ["user_id", "order_date"], "left")
-    subsets = attribute_subsets(attrs, range(1, len(attrs) + 1))
-    for s in subsets:
-        t = base.groupBy("user_id", *s).agg(_count().alias("user_id_" + "_".join(s) + "_total_items_ordered"))
-        df = df.join(t, ["user_id", *s], "left")
-    for s in subsets:
-        r = _running_table(base, ["user_id", *s], None, "user_id_" + "_".join(s) + "_cumsum_items_ordered")
-        df = df.join(r, ["user_id", *s, "order_date"], "left")
-    return df
+    return join_tables(df, user_count_tables(df, attrs))
 
 
 # -- A31 -----------------------------------------------------------------------
+NUNIQUE_COLS = ("item_id", "size", "item_color", "brand_id")
+
+
+def user_nunique_tables(df: DataFrame, attrs: Sequence[str] = USER_ATTRS,
+                        cols: Sequence[str] = NUNIQUE_COLS) -> list[KeyedTable]:
+    subsets = attribute_subsets(attrs, range(0, 3))
+    groupings = [["user_id", *s] for s in subsets]
+    long, keys = explode_groupings(df, groupings, [F.col(c).alias(f"_d_{c}") for c in cols])
+    agg = long.groupBy("_g", *keys).agg(*[F.count_distinct(f"_d_{c}").alias(f"_nu_{c}") for c in cols])
+
+    def name(g, c):
+        col = c[len("_nu_"):]
+        return None if col in g else f"user_id_{col}_nunique_" + "_".join(g[1:])
+    return split_groupings(agg, groupings, name)
+
 
 def user_nunique(df: DataFrame, attrs: Sequence[str] = USER_ATTRS,
-                 cols: Sequence[str] = ("item_id", "size", "item_color", "brand_id")) -> DataFrame:
+                 cols: Sequence[str] = NUNIQUE_COLS) -> DataFrame:
     """Distinct items/sizes/colours/brands per user and per (user, subset)
     for subsets of size 0-2; the subset's own columns are left out."""
-    base = df
-    for s in attribute_subsets(attrs, range(0, 3)):
-        rest = [c for c in cols if c not in s]
-        t = base.groupBy("user_id", *s).agg(
-            *[F.count_distinct(c).alias(f"user_id_{c}_nunique_" + "_".join(s)) for c in rest])
-        df = df.join(t, ["user_id", *s], "left")
-    return df
+    return join_tables(df, user_nunique_tables(df, attrs, cols))
 
 
 # -- P31 -----------------------------------------------------------------------
 
+def label_code_tables(df: DataFrame, cols: Sequence[str]) -> list[KeyedTable]:
+    """One code table per column: distinct values ranked 0..n-1 in sorted
+    order. Meant for low-cardinality columns (one row per distinct value,
+    so the global ranking window sees a handful of rows)."""
+    return [([c], df.select(c).distinct().withColumn(
+        f"_code_{c}", F.dense_rank().over(Window.orderBy(F.col(c).asc_nulls_last())) - 1)) for c in cols]
+
+
+def apply_label_codes(df: DataFrame, tables: Sequence[KeyedTable]) -> DataFrame:
+    df = join_tables(df, tables)
+    return df.withColumns({k[0]: F.col(f"_code_{k[0]}") for k, _ in tables}).drop(
+        *[f"_code_{k[0]}" for k, _ in tables])
+
+
 def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Replace each column by the 0-based rank of its value among the
-    column's sorted distinct values (sklearn ``LabelEncoder``). Meant for
-    low-cardinality columns: the code table has one row per distinct value."""
-    base = df
-    for c in cols:
-        codes = base.select(c).distinct().withColumn(
-            "_code", F.dense_rank().over(Window.orderBy(F.col(c).asc_nulls_last())) - 1)
-        df = df.join(codes, c, "left").withColumn(c, F.col("_code")).drop("_code")
-    return df
+    column's sorted distinct values (sklearn ``LabelEncoder``)."""
+    return apply_label_codes(df, label_code_tables(df, cols))

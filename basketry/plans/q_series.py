@@ -1 +1,87 @@
-"""Registered queries."""
+"""Registered queries: price-series features (W7-W12) on the daily bars."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from basketry.operators import series as SE
+from basketry.plans.common import daily_bars
+from basketry.plans.oracle_sql import with_bars
+from basketry.plans.registry import register
+
+TRAIN_START, TRAIN_END = "1996-01-01", "2000-01-01"
+
+_RET_CTE = """r0 AS (SELECT symbol, dt, close, high, low, volume,
+       close / lag(close) OVER (PARTITION BY symbol ORDER BY dt) - 1 AS "return",
+       volume / lag(volume) OVER (PARTITION BY symbol ORDER BY dt) - 1 AS volume_change FROM bars),
+r AS (SELECT * FROM r0 WHERE "return" IS NOT NULL AND volume_change IS NOT NULL)"""
+
+
+def _r6(c):
+    return F.round(F.col(c), 6).alias(c)
+
+
+@register("price_returns", with_bars(
+    'SELECT symbol, dt, round("return", 6) AS "return", round(volume_change, 6) AS volume_change FROM r',
+    _RET_CTE))
+def q_price_returns(spark, sf_dir):
+    """Daily percent change of close and volume (first day dropped)."""
+    return SE.returns(daily_bars(spark, sf_dir)).select("symbol", "dt", _r6("return"), _r6("volume_change"))
+
+
+_LAG_COLS = [f"{p}_t-{i}" for i in range(1, 15) for p in ("return", "volume", "volume_change")]
+_lag_sql = ", ".join(
+    f'round(lag({src}, {i}) OVER w, 6) AS "{p}_t-{i}"'
+    for i in range(1, 15) for p, src in (("return", '"return"'), ("volume", "volume"),
+                                         ("volume_change", "volume_change")))
+_ma_sql = ", ".join(
+    f'round(CASE WHEN count(rt1) OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) = {n} '
+    f'THEN avg(rt1) OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END, 6) AS return_MA_{n}'
+    for n in SE.MA_WINDOWS)
+_rocp_sql = ", ".join(
+    f"round((lag(close, 1) OVER w - lag(close, {n + 1}) OVER w) / lag(close, {n + 1}) OVER w, 6) AS ROCP_{n}"
+    for n in SE.MA_WINDOWS)
+
+
+@register("price_lags", with_bars(
+    f"SELECT symbol, dt, {_lag_sql} FROM r WINDOW w AS (PARTITION BY symbol ORDER BY dt)", _RET_CTE))
+def q_price_lags(spark, sf_dir):
+    """14 lags of return, volume and volume change."""
+    df = SE.lags(SE.returns(daily_bars(spark, sf_dir)))
+    return df.select("symbol", "dt", *[_r6(c) for c in _LAG_COLS])
+
+
+@register("price_rolling", with_bars(
+    f"SELECT symbol, dt, {_ma_sql}, {_rocp_sql} FROM "
+    "(SELECT *, lag(\"return\", 1) OVER (PARTITION BY symbol ORDER BY dt) AS rt1 FROM r) "
+    "WINDOW w AS (PARTITION BY symbol ORDER BY dt)", _RET_CTE))
+def q_price_rolling(spark, sf_dir):
+    """W9 + W10: rolling means of the lagged return and lagged rates of change."""
+    df = SE.returns(daily_bars(spark, sf_dir))
+    df = SE.rate_of_change(SE.rolling_means(SE.lags(df, 1)))
+    cols = [f"return_MA_{n}" for n in SE.MA_WINDOWS] + [f"ROCP_{n}" for n in SE.MA_WINDOWS]
+    return df.select("symbol", "dt", *[_r6(c) for c in cols])
+
+
+@register("price_target", with_bars(
+    'SELECT r.symbol, dt, CAST("return" > med AS INTEGER) AS target FROM r JOIN '
+    '(SELECT symbol, median("return") AS med FROM r WHERE dt >= DATE \'1996-01-01\' AND dt < DATE \'2000-01-01\' '
+    'GROUP BY symbol) m ON r.symbol = m.symbol', _RET_CTE))
+def q_price_target(spark, sf_dir):
+    """Target: return above the training-window median return."""
+    df = SE.add_target(SE.returns(daily_bars(spark, sf_dir)), TRAIN_START, TRAIN_END)
+    return df.select("symbol", "dt", "target")
+
+
+@register("price_indicators")
+def q_price_indicators(spark, sf_dir):
+    """W11 + W12: T3 Bollinger bands and lagged ATR (recursive; rows-only
+    check, verified against a direct loop in the tests)."""
+    df = SE.indicators(SE.lags(SE.returns(daily_bars(spark, sf_dir)), 1))
+    return df.select("symbol", "dt", *[_r6(c) for c in ["upper_band", "middle_band", "lower_band", "ATR_14"]])
+
+
+@register("price_series_features")
+def q_price_series_features(spark, sf_dir):
+    """W7-W12 + target, rows with any null dropped (56 features)."""
+    return SE.price_features(daily_bars(spark, sf_dir), TRAIN_START, TRAIN_END)
