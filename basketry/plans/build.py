@@ -6,24 +6,19 @@ Stages (each a Spark job graph, no rows pass through the driver):
 2. Row-level additions that need no grouping beyond one key: date parts,
    order totals, quantile/fixed bins. Written once more: every feature
    table below reads this frame.
-3. ~120 per-key feature tables (order, item, brand, user, subset, pair,
-   triple keys). Each is a partial aggregate over stage 2 and is written
-   to the checkpoint folder, concurrently from a small thread pool. Once
-   written, its real size is known to the planner, so the final joins
-   broadcast the small tables (no shuffle of the wide frame) and fall back
-   to sort-merge joins (with AQE skew splitting) for the large ones.
-4. One chain of left joins from stage 2 onto the tables, the few
-   row-level post expressions, label codes, and the column order of the
-   reference's ledger.
+3. Twelve feature families. Inside a family every grouping shares one
+   expanded partial aggregate (grouping sets) whose per-key tables are
+   joined back on their keys (AQE: broadcast when measured small, else
+   sort-merge with skew splitting). Each family is written as
+   (row key + its columns).
+4. One chain of joins on the row key, label codes for six low-cardinality
+   columns, and the column order of the reference's ledger.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.functions.aggregates import long_table_sink
 from basketry.operators import features as FT
 from basketry.operators.clean import clean_orders
 from basketry.session import materialize
@@ -33,90 +28,49 @@ from basketry.sources.fixtures import order_items
 LABEL_ENCODED = ["size", "item_color", "user_title", "user_state", "mode_size", "mode_item_color"]
 
 
-def feature_tables(base: DataFrame) -> list[FT.KeyedTable]:
-    """All per-key tables of the 18 -> 467 build, in ledger order."""
-    delivery = FT.all_delivery_tables(base)
-    n_single = len(FT.DELIVERY_KEYS)
-    return (FT.same_item_tables(base)
-            + FT.order_nunique_tables(base)
-            + FT.price_stat_tables(base)
-            + FT.user_mode_tables(base)
-            + delivery[:n_single]
-            + FT.recency_tables(base, "order_date", "order")
-            + FT.recency_tables(base, "delivery_date", "delivery")
-            + delivery[n_single:]
-            + FT.user_count_tables(base)
-            + FT.user_nunique_tables(base))
+ROW_KEY = ["split", "order_item_id"]
 
 
-def _write_tables(tables: list[FT.KeyedTable], threads: int) -> list[FT.KeyedTable]:
-    def one(item):
-        keys, t = item
-        return keys, materialize(t, "ftable")
-    if threads <= 1:
-        return [one(t) for t in tables]
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        return list(pool.map(one, tables))
+def feature_families(base: DataFrame) -> list[DataFrame]:
+    """Each family as (row key + its new columns), in ledger order. Inside a
+    family all groupings share one expanded aggregate (grouping sets), and
+    its per-key tables are joined back on their own keys."""
+    binned = FT.join_tables(base, FT.binned_stat_tables(base))
+    fams = [FT.same_item_counts(base), FT.order_nunique(base), FT.price_stats(base), FT.user_modes(base),
+            FT.delivery_stats(base), FT.recency_features(base, "order_date", "order"),
+            FT.recency_features(base, "delivery_date", "delivery"), binned,
+            FT.interaction_stats(base, sizes=[2]), FT.interaction_stats(base, sizes=[3]),
+            FT.user_counts(base), FT.user_nunique(base)]
+    have = set(base.columns)
+    return [f.select(*ROW_KEY, *[c for c in f.columns if c not in have]) for f in fams]
 
 
 def build_features(spark: SparkSession, sf_dir: str | None = None, raw: DataFrame | None = None,
-                   write_tables: bool = True, threads: int = 6, batch: int = 16) -> DataFrame:
-    """The 467-column frame (plus ``split``)."""
+                   write_stages: bool = True) -> DataFrame:
+    """The 467-column frame (plus ``split``).
+
+    Each family frame is written once (row key + its columns); the wide
+    frame is then one chain of joins on the row key, where every input is
+    already a written table, so the joins are co-partitioned sort-merge
+    joins (one exchange per input) and the plan stays small."""
     if raw is None:
         raw = order_items(spark, sf_dir)
-    clean = materialize(clean_orders(raw), "clean")
-    staged = FT.add_bins(FT.order_totals(FT.date_parts(clean)))
-    base = materialize(staged, "base")
-
-    if write_tables:
-        with long_table_sink(lambda t: materialize(t, "long", partition_by="_g")):
-            tables = feature_tables(base)
-        # the few single tables (order distinct counts, modes, user recency)
-        tables = [(k, t if _is_written(t) else materialize(t, "ftable")) for k, t in tables]
-    else:
-        tables = feature_tables(base)
+    raw = materialize(raw, "raw") if write_stages else raw
+    clean = clean_orders(raw)
+    clean = materialize(clean, "clean") if write_stages else clean
+    base = FT.add_bins(FT.order_totals(FT.date_parts(clean)))
+    base = materialize(base, "base") if write_stages else base
+
+    fams = feature_families(base)
+    if write_stages:
+        fams = [materialize(f, "family") for f in fams]
     wide = base
-    for i in range(0, len(tables), batch):
-        # Plan analysis grows with the number of joins in one plan, so the
-        # wide frame is written every ``batch`` joins.
-        wide = FT.join_tables(wide, tables[i:i + batch])
-        if write_tables and i + batch < len(tables):
-            wide = materialize(wide, "wide_part")
-    wide = FT.same_item_post(wide)
-    wide = FT.price_diff_post(wide)
-
-    ordered = _ledger_order(base.columns, tables)
-    wide = wide.select(*ordered).drop(*FT.BIN_COLUMNS)
-    wide = materialize(wide, "wide") if write_tables else wide
+    ordered = list(base.columns)
+    for f in fams:
+        wide = wide.join(f, ROW_KEY, "left")
+        ordered += [c for c in f.columns if c not in ROW_KEY]
+    ordered = [c for c in ordered if c not in FT.BIN_COLUMNS]
+    wide = wide.select(*ordered)
+    wide = materialize(wide, "wide") if write_stages else wide
     codes = FT.label_code_tables(wide, LABEL_ENCODED)
-    if write_tables:
-        codes = _write_tables(codes, threads)
-    return FT.apply_label_codes(wide, codes).select(*[c for c in ordered if c not in FT.BIN_COLUMNS])
-
-
-def _is_written(t: DataFrame) -> bool:
-    """True when the plan is a filter/projection over a written Parquet table."""
-    plan = t._jdf.queryExecution().analyzed().toString()
-    return "Relation" in plan and "Aggregate" not in plan and "Join" not in plan and "Window" not in plan
-
-
-def _ledger_order(base_cols: list[str], tables: list[FT.KeyedTable]) -> list[str]:
-    """Column order of the reference: base columns, then each family's
-    columns in the order the families were added."""
-    out = list(base_cols)
-    seen = set(out)
-    for keys, t in tables:
-        for c in t.columns:
-            if c not in seen and not c.startswith("_"):
-                out.append(c)
-                seen.add(c)
-    # same/different pairs sit together, and price diffs follow price stats
-    res = []
-    for c in out:
-        res.append(c)
-        if c.startswith("order_number_same_"):
-            res.append(c.replace("order_number_same_", "order_number_different_"))
-        if c == "item_price_brand_id_mad":
-            res += [f"price-item_price_{k}_{s}" for k in FT.PRICE_KEYS for s in FT.PRICE_STATS
-                    if s in ("mean", "min", "max")]
-    return res
+    return FT.apply_label_codes(wide, codes).select(*ordered)

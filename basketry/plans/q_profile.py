@@ -153,21 +153,20 @@ def q_price_histogram(spark, sf_dir):
 
 
 @register("box_price_by_label", with_clean("""
-WITH q AS (SELECT returned, quantile_cont(CAST(item_price AS DOUBLE), 0.25) AS q1,
-                  quantile_cont(CAST(item_price AS DOUBLE), 0.5) AS median,
-                  quantile_cont(CAST(item_price AS DOUBLE), 0.75) AS q3 FROM clean GROUP BY returned),
-     f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo_fence, q3 + 1.5 * (q3 - q1) AS hi_fence FROM q)
 SELECT f.returned, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3,
        round(lo_fence, 4) AS lo_fence, round(hi_fence, 4) AS hi_fence,
        min(CASE WHEN CAST(item_price AS DOUBLE) BETWEEN lo_fence AND hi_fence THEN CAST(item_price AS DOUBLE) END) AS whisker_lo,
        max(CASE WHEN CAST(item_price AS DOUBLE) BETWEEN lo_fence AND hi_fence THEN CAST(item_price AS DOUBLE) END) AS whisker_hi,
        sum(CASE WHEN CAST(item_price AS DOUBLE) BETWEEN lo_fence AND hi_fence THEN 0 ELSE 1 END) AS fliers
-FROM clean JOIN f ON clean.returned IS NOT DISTINCT FROM f.returned
-GROUP BY ALL"""))
+FROM clean JOIN f ON clean.returned = f.returned
+GROUP BY ALL""", """bq AS (SELECT returned, quantile_cont(CAST(item_price AS DOUBLE), 0.25) AS q1,
+                  quantile_cont(CAST(item_price AS DOUBLE), 0.5) AS median,
+                  quantile_cont(CAST(item_price AS DOUBLE), 0.75) AS q3 FROM clean WHERE returned IS NOT NULL
+                  GROUP BY returned)""",
+    "f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo_fence, q3 + 1.5 * (q3 - q1) AS hi_fence FROM bq)"))
 def q_box_price_by_label(spark, sf_dir):
     """T4: quartiles, fences, whiskers and flier counts of price by label."""
-    b = PR.box_stats(clean_items(spark, sf_dir).filter(F.col("returned").isNotNull()).unionByName(
-        clean_items(spark, sf_dir).filter(F.col("returned").isNull())), "item_price", "returned")
+    b = PR.box_stats(clean_items(spark, sf_dir).filter(F.col("returned").isNotNull()), "item_price", "returned")
     return b.select("returned", *[F.round(c, 4).alias(c) for c in ["q1", "median", "q3", "lo_fence", "hi_fence"]],
                     "whisker_lo", "whisker_hi", "fliers")
 
