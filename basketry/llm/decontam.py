@@ -146,23 +146,42 @@ def pieces(docs: DataFrame, known: HashFilter | None, id_col: str = "doc_id", te
     return materialize(rows.mapInArrow(work, PIECE.format(id=rows.schema[0].dataType.simpleString())), "decontam-pieces")
 
 
+def _best_overlap(words: np.ndarray, item: np.ndarray, at: int) -> tuple[int, int, int] | None:
+    """Compare along a line (``at``: document word under the item's first).
+    First word, words and equal words of the stretch from the first
+    qualifying window to the last; None if there is none."""
+    low, high = max(0, -at), min(len(item), len(words) - at)
+    width = min(WINDOW, len(item))
+    if high - low < width:
+        return None
+    equal = np.concatenate([[0], np.cumsum(item[low:high] == words[low + at:high + at])])
+    good = np.flatnonzero(equal[width:] - equal[:-width] >= (WINDOW_EQUAL if width == WINDOW else width - 1))
+    if not len(good):
+        return None
+    a, b = int(good[0]), int(good[-1]) + width
+    return low + at + a, b - a, int(equal[b] - equal[a])
+
+
 def _verified(lined: DataFrame) -> DataFrame:
-    """Compare along each line: ``at`` is the document word under the item's first."""
-    low = F.greatest(F.lit(0), -F.col("at"))
-    high = F.least(F.size("item_words"), F.size("words") - F.col("at"))
-    need = F.when(F.col("width") == WINDOW, WINDOW_EQUAL).otherwise(F.col("width") - 1)
-    compared = (lined.withColumn("width", F.least(F.lit(WINDOW), F.size("item_words")))
-                .withColumn("low", low).withColumn("long", high - low).where("long >= width")
-                .withColumn("equal", F.transform(F.sequence(F.lit(0), F.col("long") - 1), lambda j: F.when(
-                    F.get("item_words", F.col("low") + j) == F.get("words", F.col("low") + F.col("at") + j), 1).otherwise(0))))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    good = F.filter(F.sequence(F.lit(0), F.col("long") - F.col("width")),
-                    lambda i: total(F.slice("equal", i + 1, F.col("width"))) >= need)
-    found = compared.withColumn("good", good).where(F.size("good") > 0)
-    first, last = F.get("good", F.lit(0)), F.element_at("good", -1)
-    return found.select("doc_id", "text_key", "item_id", (last - first + F.col("width")).alias("n_words"),
-                        total(F.slice("equal", first + 1, last - first + F.col("width"))).alias("n_equal"),
-                        (F.col("start") + F.col("at") + F.col("low") + first).alias("start_word"), F.size("item_words").alias("item_words"))
+    ids = dict(lined.dtypes)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = {n: batch.column(n) for n in batch.schema.names}
+            found, pick = [], []
+            for k in range(batch.num_rows):
+                words, item = (np.asarray(cols[n][k].values) for n in ("words", "item_words"))
+                best = _best_overlap(words, item, cols["at"][k].as_py())
+                if best:
+                    pick.append(k)
+                    found.append((best[1], best[2], cols["start"][k].as_py() + best[0], len(item)))
+            rows = pa.array(pick, pa.int64())
+            numbers = [pa.array([f[j] for f in found], pa.int32()) for j in range(4)]
+            yield pa.RecordBatch.from_arrays([cols[n].take(rows) for n in ("doc_id", "text_key", "item_id")] + numbers,
+                                             ["doc_id", "text_key", "item_id", "n_words", "n_equal", "start_word", "item_words"])
+
+    rows = lined.select("doc_id", "text_key", "item_id", "start", "words", "item_words", "at")
+    return rows.mapInArrow(work, f"doc_id {ids['doc_id']}, text_key bigint, item_id {ids['item_id']}, n_words int, n_equal int, start_word int, item_words int")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",

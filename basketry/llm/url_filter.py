@@ -76,18 +76,20 @@ def rule_and_verdict(host: Column, path: Column, rules: tuple = RULES) -> tuple[
     return rule, verdict
 
 
-def char_ngrams(host: Column, path: Column) -> Column:
-    """Character n-grams of ``^host path$`` (none for an empty URL)."""
-    text = F.translate(F.concat(F.lit("^"), host, F.lit(" "), path, F.lit("$")), UPPER, LOWER)
-    chars = F.split(text, "")
+def with_ngrams(rows: DataFrame) -> DataFrame:
+    """``rows`` (with ``host`` and ``path``) and their character n-grams as
+    ``grams``: those of ``^host path$``, none for an empty URL. The characters
+    are a column of their own, cut once and not again for every n-gram."""
+    text = F.translate(F.concat(F.lit("^"), F.col("host"), F.lit(" "), F.col("path"), F.lit("$")), UPPER, LOWER)
+    chars = F.col("chars")
 
     def of_size(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(1)))
-        return F.when(F.size(chars) >= n, F.transform(starts, lambda i: F.array_join(F.slice(chars, i, n), "")))
+        return F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.array_join(F.slice(chars, i, n), ""))
 
-    grams = [of_size(n) for n in SIZES]
-    return F.when((host == "") & (path == ""), F.array().cast("array<string>")).otherwise(
-        F.flatten(F.filter(F.array(*grams), lambda g: g.isNotNull())))
+    # A URL with a host or a path has four characters at least here.
+    grams = F.flatten(F.array(*[F.when(F.size(chars) >= n, of_size(n)).otherwise(F.array().cast("array<string>")) for n in SIZES]))
+    cut = rows.withColumn("chars", F.when((F.col("host") == "") & (F.col("path") == ""), F.array().cast("array<string>")).otherwise(F.split(text, "")))
+    return cut.withColumn("grams", grams).drop("chars")
 
 
 def default_labels(spark: SparkSession) -> DataFrame:
@@ -109,17 +111,16 @@ def train(labelled: DataFrame) -> LogisticRegressionModel:
         raise ValueError(f"the labelled URL table has more than {MAX_LABELLED} rows")
     blocked, n = rows.agg(F.sum("label"), F.count(F.lit(1))).first()
     share = min(max((blocked or 0) / max(n, 1), 0.01), 0.99)  # both classes weigh the same
-    grams = rows.select("label", F.when(F.col("label") > 0, 1 - share).otherwise(share).alias("weight"),
-                        char_ngrams(F.col("host"), F.col("path")).alias("grams")).coalesce(1)
-    return LogisticRegression(maxIter=MAX_ITER, regParam=REGULARISATION, standardization=False, weightCol="weight").fit(_features(grams))
+    weighted = rows.withColumn("weight", F.when(F.col("label") > 0, 1 - share).otherwise(share)).coalesce(1)
+    regression = LogisticRegression(maxIter=MAX_ITER, regParam=REGULARISATION, standardization=False, weightCol="weight")
+    return regression.fit(_features(with_ngrams(weighted)))
 
 
 def judge(pages: DataFrame, model: LogisticRegressionModel, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES) -> DataFrame:
     """``id_col, host, path, rule, verdict, p_block`` for every row."""
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("grams", char_ngrams(F.col("host"), F.col("path")))
-    scored = model.transform(_features(rows)).withColumn("p_block", F.round(vector_to_array("probability")[1], 6))
+    scored = model.transform(_features(with_ngrams(rows))).withColumn("p_block", F.round(vector_to_array("probability")[1], 6))
     rule, verdict = rule_and_verdict(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("p_block") >= BLOCK_FROM, "block").otherwise("allow")
     return scored.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "p_block")

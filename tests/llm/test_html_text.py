@@ -46,8 +46,8 @@ def test_hostile_pages_take_one_pass(page):
 
 
 def test_deep_pages_keep_their_text():
-    assert render("<div>" * 1000 + "".join(f"w{i}</div>" for i in range(1000))).split()[0] == "w0"
-    assert len(render("<div>" * 1000 + "".join(f"w{i}</div>" for i in range(1000))).split()) == 1000
+    text = render("<div>" * 1000 + "".join(f"w{i}</div>" for i in range(1000)))
+    assert "".join(text.split()) == "".join(f"w{i}" for i in range(1000))
 
 
 def test_operator(spark):

@@ -2,6 +2,7 @@ import collections
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from basketry.llm import mixing
 
@@ -59,7 +60,7 @@ def test_expansion_repeats_rows(spark):
 def test_caps_fill_like_resharing(spark):
     for sizes in ({"a": 100, "b": 1, "c": 1}, {"a": 1, "b": 100, "c": 1, "d": 50}, {"a": 0, "b": 3, None: 2}, {"a": 5}):
         rows = [(i, "w " * n, s, 0, "") for i, (s, n) in enumerate(sizes.items())]
-        sized = spark.createDataFrame(rows, SCHEMA).select("source", mixing.word_count(spark.createDataFrame(rows, SCHEMA).text).alias("size"))
+        sized = spark.createDataFrame(rows, SCHEMA).select("source", mixing.word_count(F.col("text")).alias("size"))
         got = {r["source"]: r["target"] for r in mixing.targets(sized).collect()}
         assert got == pytest.approx(mix_targets(sizes))
 
