@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from basketry.llm.words import HashFilter, odd_multipliers, scramble, word_hashes
+from basketry.llm.words import HashFilter, odd_multipliers, scramble, slices, word_hashes
 from basketry.session import materialize
 
 WORD = re.compile(r"\w+")
@@ -107,7 +107,7 @@ def pieces(docs: DataFrame, known: HashFilter | None, id_col: str = "doc_id", te
     shared = spark.sparkContext.broadcast(known)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             words = [word_hashes(t or "", WORD) for t in batch.column(2).to_pylist()]
             ends = np.cumsum([len(w) for w in words])
             flat = np.concatenate(words) if words else np.zeros(0, np.uint64)

@@ -25,6 +25,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from basketry.llm.words import slices
+
 MAX_DEPTH = 256
 #: Columns wider than this are not padded (a long cell would widen every row).
 PAD_WIDTH = 60
@@ -470,7 +472,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             text = [render(p) if p else "" for p in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["id", "text", "n_chars"])
 

@@ -40,6 +40,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from basketry.llm.words import slices
+
 CHUNK_CHARS = 1 << 16
 #: Characters handled by one round of array operations.
 ROUND_CHARS = 1 << 20
@@ -419,7 +421,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         if path not in _COUNTERS:
             _COUNTERS.clear()
             _COUNTERS[path] = TokenCounter(vocabulary.value)
-        for batch in batches:
+        for batch in slices(batches):
             size = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
             n = _COUNTERS[path].texts([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(n)], ["id", "n_bytes", "n_tokens"])

@@ -30,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from basketry.llm.words import HashFilter, odd_multipliers, scramble, word_hashes
+from basketry.llm.words import HashFilter, odd_multipliers, scramble, slices, word_hashes
 from basketry.session import materialize
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(shared.value.margin(batch.column(1).to_pylist())), batch.column(0)], ["x", "y"])
 
     # At most about MAX_TRAIN / CALIBRATE numbers.
@@ -198,7 +198,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(batch.column(1).to_pylist()))], ["id", "score"])
 
     scored = rows.mapInArrow(work, f"id {rows.schema[0].dataType.simpleString()}, score double")
@@ -212,7 +212,7 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = shared.value.score(batch.column(at).to_pylist()) < THRESHOLD
             yield batch.filter(pa.array(keep))
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 _CACHE: dict[str, int] = {}
@@ -12,6 +14,18 @@ _CACHE: dict[str, int] = {}
 CACHE_WORDS = 400_000
 
 
+#: Rows that a worker takes out of an Arrow batch at a time.
+SLICE_ROWS = 1_000
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller parts, so that what is made of a part (words,
+    hashes, masks) stays small beside the batch itself."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(lo, SLICE_ROWS)
+
+
 def word_hashes(text: str, pattern: re.Pattern) -> np.ndarray:
     """64-bit hashes (uint64) of the pattern's matches in the lower-cased text, in order."""
     words = pattern.findall(text.lower())
