@@ -93,6 +93,12 @@ def multi_group_stats(df: DataFrame, groupings: Sequence[Sequence[str]], value:
                                    [F.col(value).alias("_v")])
     gk = ["_g", *keys]
     freq = long.groupBy(*gk, "_v").agg(F.count(F.lit(1)).alias("_freq"))
+    return stats_of_frequencies(freq, gk, stats, digits, units)
+
+
+def stats_of_frequencies(freq: DataFrame, gk: Sequence[str], stats: Sequence[str] = ALL_STATS, digits: int = 2,
+                         units: int | None = None) -> DataFrame:
+    """Statistics per key from a table of keys, values ``_v`` and counts ``_freq``."""
     vv, n = F.col("_v"), F.col("_freq")
     base = freq.groupBy(*gk).agg(
         F.sum(n).alias("_tot"), F.sum(n * vv).alias("_S"),
@@ -103,9 +109,11 @@ def multi_group_stats(df: DataFrame, groupings: Sequence[Sequence[str]], value:
     if need_dev:
         b = base.select(*gk, F.col("_tot").alias("_T"), F.col("_S").alias("_SS"), mean.alias("_mean"))
         j = freq.join(b, null_safe_keys(freq, b, gk)).select(freq["*"], "_T", "_SS", "_mean")
+        # N * v * n passes the range of a long in groups of some 10^8 rows.
+        wide = lambda c: F.col(c).cast("decimal(18,0)")
         dx = F.col("_v").cast("double") - F.col("_mean")
         dev = (j.groupBy(*gk)
-                .agg(F.sum(F.col("_freq") * F.abs(F.col("_T") * F.col("_v") - F.col("_SS"))).alias("_A"),
+                .agg(F.sum(wide("_freq") * F.abs(wide("_T") * F.col("_v") - F.col("_SS"))).alias("_A"),
                      F.sum(F.col("_freq") * dx * dx).alias("_M2"),
                      F.sum(F.col("_freq") * dx * dx * dx).alias("_M3")))
         base = base.join(dev, null_safe_keys(base, dev, gk)).select(base["*"], "_A", "_M2", "_M3")

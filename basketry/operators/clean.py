@@ -106,12 +106,10 @@ def add_user_age(df: DataFrame, lo: int = 20, hi: int = 80) -> DataFrame:
               .drop("_age", "_age_med1", "_age_med2"))
 
 
-def state_short_names(df: DataFrame, names: Sequence[str] = STATE_SHORT_NAMES,
-                      strict: bool = False) -> DataFrame:
+def state_short_names(df: DataFrame, names: Sequence[str] = STATE_SHORT_NAMES) -> DataFrame:
     """Rename states by rank of their kept-item count (labelled rows with
-    ``returned == 0``; ties by name). Only ``len(names)`` ranks exist: the
-    reference raises for any other state (``strict=True``); by default such
-    a state keeps its own name."""
+    ``returned == 0``; ties by name). Only ``len(names)`` ranks exist: any
+    other state raises."""
     spark = df.sparkSession
     top = (df.filter((F.col("split") == "known") & (F.col("returned") == 0))
              .groupBy("user_state").agg(F.count(F.lit(1)).alias("_n"))
@@ -122,11 +120,7 @@ def state_short_names(df: DataFrame, names: Sequence[str] = STATE_SHORT_NAMES,
     mapping = ranked.join(F.broadcast(lookup), "_rank").select("user_state", "_short")
     out = df.join(F.broadcast(mapping), "user_state", "left")
     short = F.col("_short")
-    if strict:
-        short = F.coalesce(short, F.raise_error(F.concat(F.lit("no short name for state "),
-                                                         F.col("user_state"))))
-    else:
-        short = F.coalesce(short, F.col("user_state"))
+    short = F.coalesce(short, F.raise_error(F.concat(F.lit("no short name for state "), F.col("user_state"))))
     return out.withColumn("user_state", short).drop("_short")
 
 
@@ -140,7 +134,7 @@ CLEAN_COLUMNS = ["split", "order_item_id", "order_date", "delivery_date", "item_
                  "user_age", "user_reg_age"]
 
 
-def clean_orders(raw: DataFrame, compat: bool = True, strict_states: bool = False) -> DataFrame:
+def clean_orders(raw: DataFrame, compat: bool = True, state_names: Sequence[str] = STATE_SHORT_NAMES) -> DataFrame:
     """The whole cleaning chain: 14 raw columns (+ split) -> 18 (+ split)."""
     df = (raw.transform(null_sentinels)
              .transform(parse_dates)
@@ -148,6 +142,6 @@ def clean_orders(raw: DataFrame, compat: bool = True, strict_states: bool = Fals
              .transform(add_size_class, compat=compat)
              .transform(add_order_key)
              .transform(add_user_age, lo=20 if compat else 18)
-             .transform(state_short_names, strict=strict_states)
+             .transform(state_short_names, names=state_names)
              .transform(add_reg_age))
     return df.select(*CLEAN_COLUMNS)

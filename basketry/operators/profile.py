@@ -177,14 +177,19 @@ def histogram(df: DataFrame, col: str, width: float | None = None, bins: int | N
               .groupBy(b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count")).orderBy("bin"))
 
 
-def density(df: DataFrame, col: str, grid: Sequence[float], bandwidth: float) -> DataFrame:
-    """Gaussian kernel density on a fixed grid. The data is reduced to
+def density(df: DataFrame, col: str, bandwidth: float, grid: Sequence[float] | None = None) -> DataFrame:
+    """Gaussian kernel density on a grid, by default the whole numbers
+    from the least to the largest value. The data is reduced to
     a value-count table first (partial aggregate), so the grid x values
     product is over distinct values only."""
     spark = df.sparkSession
     counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")) \
                .agg(F.count(F.lit(1)).alias("n"))
-    g = spark.createDataFrame([(float(x),) for x in grid], "x double")
+    if grid is None:
+        ends = counts.agg(F.floor(F.min("v")).alias("lo"), F.ceil(F.max("v")).alias("hi"))
+        g = ends.where("lo IS NOT NULL").select(F.explode(F.sequence("lo", "hi")).alias("x")).select(F.col("x").cast("double"))
+    else:
+        g = spark.createDataFrame([(float(x),) for x in grid], "x double")
     total = counts.agg(F.sum("n").alias("_N"))
     k = F.exp(-0.5 * F.pow((F.col("x") - F.col("v")) / bandwidth, 2)) / (bandwidth * (2 * 3.141592653589793) ** 0.5)
     return (counts.crossJoin(F.broadcast(g)).groupBy("x").agg(F.sum(F.col("n") * k).alias("_s"))

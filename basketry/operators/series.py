@@ -26,9 +26,11 @@ def _w(sym: str = "symbol", order: str = "dt") -> Window:
 
 
 def pct_change(df: DataFrame, src: str, name: str) -> DataFrame:
-    """C / c[-1] - 1 per symbol (null on the first day or a zero base)."""
-    prev = F.lag(src).over(_w())
-    return df.withColumn(name, F.try_divide(F.col(src), prev) - 1)
+    """C / c[-1] - 1 per symbol: null on the first day and for 0 / 0,
+    infinite for another value over a zero base."""
+    prev, now = F.lag(src).over(_w()), F.col(src).cast("double")
+    over_zero = F.when(now > 0, float("inf")).when(now < 0, float("-inf"))
+    return df.withColumn(name, F.when(prev == 0, over_zero).otherwise(F.try_divide(F.col(src), prev) - 1))
 
 
 def returns(df: DataFrame) -> DataFrame:

@@ -20,9 +20,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from basketry.operators import features as FT
+from basketry.functions.columns import STATE_SHORT_NAMES
 from basketry.operators.clean import clean_orders
 from basketry.session import materialize
-from basketry.sources.fixtures import order_items
+from basketry.sources.fixtures import FIXTURE_STATE_NAMES, order_items
 
 # Columns replaced by label codes before training (fixed by the reference).
 LABEL_ENCODED = ["size", "item_color", "user_title", "user_state", "mode_size", "mode_item_color"]
@@ -56,7 +57,7 @@ def build_features(spark: SparkSession, sf_dir: str | None = None, raw: DataFram
     if raw is None:
         raw = order_items(spark, sf_dir)
     raw = materialize(raw, "raw") if write_stages else raw
-    clean = clean_orders(raw)
+    clean = clean_orders(raw, state_names=FIXTURE_STATE_NAMES if sf_dir else STATE_SHORT_NAMES)
     clean = materialize(clean, "clean") if write_stages else clean
     base = FT.add_bins(FT.order_totals(FT.date_parts(clean)))
     base = materialize(base, "base") if write_stages else base

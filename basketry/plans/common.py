@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from basketry.operators.clean import clean_orders
 from basketry.session import materialize
-from basketry.sources.fixtures import bars, order_items
+from basketry.sources.fixtures import FIXTURE_STATE_NAMES, bars, order_items
 
 _memo: dict[tuple, DataFrame] = {}
 
@@ -19,9 +19,9 @@ def clean_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned order items, written once per session and data folder to the
     shared checkpoint folder so every feature family starts from Parquet
     instead of re-running the five-way join and the cleaning scalars."""
-    key = ("clean", id(spark), sf_dir)
+    key = ("clean", spark.sparkContext.applicationId, sf_dir)
     if key not in _memo:
-        _memo[key] = materialize(clean_orders(order_items(spark, sf_dir)), "clean_items")
+        _memo[key] = materialize(clean_orders(order_items(spark, sf_dir), state_names=FIXTURE_STATE_NAMES), "clean_items")
     return _memo[key]
 
 

@@ -4,10 +4,9 @@ stack on."""
 
 from __future__ import annotations
 
-from basketry.functions.columns import STATE_SHORT_NAMES
-from basketry.sources.fixtures import BARS_SQL, ORDER_ITEMS_SQL
+from basketry.sources.fixtures import BARS_SQL, FIXTURE_STATE_NAMES, ORDER_ITEMS_SQL
 
-_names = ", ".join(f"({i + 1}, '{s}')" for i, s in enumerate(STATE_SHORT_NAMES))
+_names = ", ".join(f"({i + 1}, '{s}')" for i, s in enumerate(FIXTURE_STATE_NAMES))
 
 _SIZE_ORD = """CASE lower(rtrim(item_size, '+'))
       WHEN 'unsized' THEN 0 WHEN 'xs' THEN -1 WHEN 's' THEN -2 WHEN 'm' THEN -3

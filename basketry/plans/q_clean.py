@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from basketry.operators import clean as C
 from basketry.plans.common import clean_items, raw_items
 from basketry.plans.oracle_sql import with_clean, with_raw
 from basketry.plans.registry import register
+from basketry.sources.files import read_delimited, write_delimited
+from basketry.sources.fixtures import FIXTURE_STATE_NAMES
 
 _CLEAN_COLS = ", ".join(C.CLEAN_COLUMNS)
 
@@ -15,19 +18,31 @@ _CLEAN_COLS = ", ".join(C.CLEAN_COLUMNS)
 @register("clean_orders", with_clean(f"SELECT {_CLEAN_COLS} FROM clean"))
 def q_clean_orders(spark, sf_dir):
     """The whole cleaning chain, all rows, 18 columns + split."""
-    return C.clean_orders(raw_items(spark, sf_dir))
+    return C.clean_orders(raw_items(spark, sf_dir), state_names=FIXTURE_STATE_NAMES)
 
 
-@register("raw_null_profile", with_raw("""
-SELECT 'delivery_date' AS "column", count(*) FILTER (WHERE delivery_date = '?') AS nulls FROM raw
-UNION ALL SELECT 'user_dob', count(*) FILTER (WHERE user_dob = '?') FROM raw
-UNION ALL SELECT 'returned', count(*) FILTER (WHERE returned IS NULL) FROM raw
-UNION ALL SELECT 'item_size', count(*) FILTER (WHERE item_size IS NULL) FROM raw"""))
+@register("orders_from_files", with_clean(f"SELECT {_CLEAN_COLS} FROM clean"))
+def q_orders_from_files(spark, sf_dir):
+    """Both sets written as ``;`` text (the class set without
+    its label), read back with explicit types, united and cleaned."""
+    raw = raw_items(spark, sf_dir)
+    columns = [raw.schema[c] for c in C.RAW_COLUMNS]
+    read = {}
+    for split in ("known", "class"):
+        own = columns if split == "known" else columns[:-1]
+        path = write_delimited(raw.where(F.col("split") == split).select(*[f.name for f in own]), f"orders-{split}")
+        read[split] = read_delimited(spark, path, StructType(own))
+    return C.clean_orders(C.union_sets(read["known"], read["class"]), state_names=FIXTURE_STATE_NAMES)
+
+
+@register("raw_null_profile", with_raw(" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL" + (f" OR {c} = '?'" if c in ("delivery_date", "user_dob") else "")
+    + ") AS nulls FROM raw" for c in C.RAW_COLUMNS)))
 def q_raw_null_profile(spark, sf_dir):
     """P2 + P3: sentinel ``?`` -> null, then null count per column."""
     from basketry.operators.profile import null_profile
     df = C.null_sentinels(raw_items(spark, sf_dir))
-    return null_profile(df, ["delivery_date", "user_dob", "returned", "item_size"])
+    return null_profile(df, C.RAW_COLUMNS)
 
 
 @register("size_classes", with_clean("""
@@ -75,6 +90,6 @@ GROUP BY ALL"""))
 def q_state_names(spark, sf_dir):
     """State -> short name by rank of kept-item count."""
     raw = raw_items(spark, sf_dir)
-    mapped = C.state_short_names(raw.withColumn("state", F.col("user_state")))
+    mapped = C.state_short_names(raw.withColumn("state", F.col("user_state")), FIXTURE_STATE_NAMES)
     return mapped.groupBy("state", F.col("user_state").alias("short_name")) \
                  .agg(F.count(F.lit(1)).alias("n"))

@@ -62,9 +62,23 @@ def q_loo_encode(spark, sf_dir):
     return tr.select(*cols).unionByName(te.select(*cols))
 
 
-@register("loo_encode_noise")
+def _noise_sql():
+    prior = "(SELECT avg(returned) FROM roles WHERE role = 'train')"
+    parts = [f"st_{c} AS (SELECT {c}, sum(returned) AS s, count(returned) AS c FROM roles WHERE role = 'train' GROUP BY {c})" for c in ENC_COLS]
+    enc = []
+    for c in ENC_COLS:
+        h = f"md5(r.split || '|' || r.order_item_id || '|{c}|42')"
+        bits = lambda at, h=h: f"CAST(CAST('0x' || substr({h}, {at}, 12) AS BIGINT) AS DOUBLE)"
+        z = f"sqrt(-2.0 * ln(({bits(1)} + 1.0) / 281474976710656.0)) * cos(6.283185307179586 * ({bits(13)} / 281474976710656.0))"
+        enc.append(f"round_even((CASE WHEN st_{c}.c > 1 THEN (st_{c}.s - r.returned) / (st_{c}.c - 1) ELSE {prior} END) "
+                   f"* (1.0 + CAST(0.1 AS DOUBLE) * ({z})) * 1000, 0) / 1000 AS {c}_LOE_encoded")
+    joins = " ".join(f"LEFT JOIN st_{c} ON st_{c}.{c} = r.{c}" for c in ENC_COLS)
+    return with_clean(f"SELECT r.split, r.order_item_id, {', '.join(enc)} FROM roles r {joins} WHERE r.role = 'train'", FEAT_CTE, SPLIT_CTE, *parts)
+
+
+@register("loo_encode_noise", _noise_sql())
 def q_loo_encode_noise(spark, sf_dir):
-    """E1 with N(1, 0.1) noise (seeded; rows-only check)."""
+    """E1 with N(1, 0.1) noise, drawn per row and column."""
     df = _split(spark, sf_dir)
     train, test = df.filter(F.col("role") == "train"), df.filter(F.col("role") == "test")
     tr, _ = E.loo_encode(train, test, ENC_COLS, sigma=0.1, seed=42)
@@ -72,7 +86,7 @@ def q_loo_encode_noise(spark, sf_dir):
 
 
 def _woe_sql():
-    cols = ["size", "item_color", "brand_id"]
+    cols = ENC_COLS
     parts = [f"""w_{c} AS (SELECT {c}, CASE WHEN count(returned) = 1 THEN 0.0 ELSE
           ln(((sum(returned) + 1.0) / ((SELECT sum(returned) FROM roles WHERE role = 'train') + 2.0)) /
              ((count(returned) - sum(returned) + 1.0) /
@@ -90,7 +104,7 @@ def q_woe_encode(spark, sf_dir):
     from basketry.functions.columns import round_half_even
     df = _split(spark, sf_dir)
     train, test = df.filter(F.col("role") == "train"), df.filter(F.col("role") == "test")
-    cols = ["size", "item_color", "brand_id"]
+    cols = ENC_COLS
     tr, te = E.woe_encode(train, test, cols)
     out = tr.unionByName(te)
     return out.select("split", "order_item_id", "role",

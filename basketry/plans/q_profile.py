@@ -28,7 +28,8 @@ for _col in ["size", "item_id", "item_color", "brand_id", "user_title", "deliver
 
 
 _NU_COLS = ["order_item_id", "order_date", "delivery_date", "item_id", "size", "item_color", "brand_id",
-            "item_price", "user_id", "user_title", "user_dob", "user_state", "user_reg_date", "returned"]
+            "item_price", "user_id", "user_title", "user_dob", "user_state", "user_reg_date", "returned",
+            "delivery_time", "order_id", "user_age", "user_reg_age"]
 
 
 @register("nunique_profile", with_clean(" UNION ALL ".join(
@@ -53,10 +54,10 @@ def q_value_counts_color(spark, sf_dir):
 
 
 @register("frequent_brands", with_clean(
-    "SELECT brand_id, count(*) AS count FROM clean GROUP BY brand_id HAVING count(*) > 200"))
+    "SELECT brand_id, count(*) AS count FROM clean GROUP BY brand_id HAVING count(*) > 2400"))
 def q_frequent_brands(spark, sf_dir):
-    """Brands sold more than 200 times."""
-    return PR.frequent_values(clean_items(spark, sf_dir), "brand_id", 200)
+    """Brands sold more than 2,400 times."""
+    return PR.frequent_values(clean_items(spark, sf_dir), "brand_id", 2400)
 
 
 @register("daily_counts", with_clean("SELECT order_date, count(*) AS count FROM clean GROUP BY order_date"))
@@ -171,10 +172,15 @@ def q_box_price_by_label(spark, sf_dir):
                     "whisker_lo", "whisker_hi", "fliers")
 
 
-@register("density_delivery_time")
+@register("density_delivery_time", with_clean(
+    "SELECT x, round(sum(n * exp(-0.5 * pow((x - v) / 2.0, 2)) / (2.0 * sqrt(6.283185307179586))) / (SELECT sum(n) FROM fq), 9) AS density "
+    "FROM g CROSS JOIN fq GROUP BY x",
+    "fq AS (SELECT CAST(delivery_time AS DOUBLE) AS v, count(*) AS n FROM clean WHERE delivery_time IS NOT NULL GROUP BY 1)",
+    "g AS (SELECT CAST(unnest(range(CAST(floor(min(v)) AS BIGINT), CAST(ceil(max(v)) AS BIGINT) + 1)) AS DOUBLE) AS x FROM fq)"))
 def q_density_delivery_time(spark, sf_dir):
-    """Gaussian kernel density of delivery time on a 0..60 grid."""
-    return PR.density(clean_items(spark, sf_dir), "delivery_time", [float(x) for x in range(0, 61)], 2.0)
+    """Gaussian kernel density of delivery time, by day from its least to its largest value."""
+    d = PR.density(clean_items(spark, sf_dir), "delivery_time", 2.0)
+    return d.select("x", F.round("density", 9).alias("density"))
 
 
 @register("corr_age_delivery", with_clean(

@@ -13,16 +13,17 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def get_spark(app: str = "basketry", master: str | None = None,
-              shuffle_partitions: int | None = None) -> SparkSession:
-    """A session with AQE on, the UI off and UTC dates.
-
-    On a cluster the master and resources come from spark-submit; the
-    defaults here only matter for local runs and tests.
-    """
-    cpus = os.environ.get("BENCH_CPUS", "8")
+              shuffle_partitions: int | None = None, driver_memory: str | None = None) -> SparkSession:
+    """A session with AQE on, the UI off and UTC dates. Master, shuffle
+    partitions and driver memory are set only if given; otherwise they are
+    those of spark-submit and its configuration."""
     builder = SparkSession.builder.appName(app)
-    if master or not os.environ.get("SPARK_MASTER"):
-        builder = builder.master(master or f"local[{cpus}]")
+    if master:
+        builder = builder.master(master)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     builder = (
         builder
         .config("spark.ui.enabled", "false")
@@ -31,8 +32,6 @@ def get_spark(app: str = "basketry", master: str | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus) * 2))
-        .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     spark = builder.getOrCreate()

@@ -11,6 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketry.functions.columns import STATE_SHORT_NAMES
+
+
+#: The tables have 25 states, more than the 16 short names: one for each rank.
+FIXTURE_STATE_NAMES = (*STATE_SHORT_NAMES, *(f"S{i}" for i in range(len(STATE_SHORT_NAMES) + 1, 26)))
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
