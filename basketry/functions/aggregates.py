@@ -19,7 +19,6 @@ the reference does with ``.round(2)`` and ``fillna(0)``.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from contextlib import contextmanager
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from basketry.functions.columns import round_half_even
+from basketry.session import materialize
 
 ALL_STATS = ("mean", "std", "min", "max", "sum", "count", "median", "mad", "skew")
 # Threshold below which pandas treats a moment sum as floating-point noise.
@@ -138,28 +138,15 @@ def stats_of_frequencies(freq: DataFrame, gk: Sequence[str], stats: Sequence[str
     return base.select(*gk, *[F.coalesce(rounded[s], F.lit(0.0)).alias(s) for s in stats])
 
 
-_LONG_SINK: list = []
-
-
-@contextmanager
-def long_table_sink(fn):
-    """While active, every long table is passed through ``fn`` (e.g. written
-    to the checkpoint folder) before it is split into per-grouping tables,
-    so all groupings of a family share one computed result."""
-    _LONG_SINK.append(fn)
-    try:
-        yield
-    finally:
-        _LONG_SINK.pop()
-
-
 def split_groupings(long: DataFrame, groupings: Sequence[Sequence[str]],
                     rename) -> list[tuple[list[str], DataFrame]]:
     """Per-grouping tables from a long table: rows of grouping i, its key
     columns, and the value columns renamed by ``rename(keys, col)`` (None
-    drops the column)."""
-    if _LONG_SINK:
-        long = _LONG_SINK[-1](long)
+    drops the column). A long table of several groupings is computed once:
+    it is written to the checkpoint folder by grouping, and each table reads
+    its own part."""
+    if len(groupings) > 1:
+        long = materialize(long, "groupings", partition_by="_g")
     value_cols = [c for c in long.columns if c != "_g" and not any(c in g for g in groupings)]
     out = []
     for i, g in enumerate(groupings):
@@ -183,14 +170,6 @@ def group_stats(df: DataFrame, keys: Sequence[str], value: str,
     return split_groupings(long, [list(keys)], lambda g, c: stat_name(nv, g, c))[0][1]
 
 
-def add_group_stats(df: DataFrame, keys: Sequence[str], value: str,
-                    stats: Sequence[str] = ALL_STATS, name_value: str | None = None,
-                    source: DataFrame | None = None) -> DataFrame:
-    """Left-join the per-key statistics back onto every row."""
-    table = group_stats(source if source is not None else df, keys, value, stats, name_value)
-    return df.join(table, list(keys), "left")
-
-
 # -- SQL twin for the DuckDB oracle ----------------------------------------
 
 def group_stats_sql(src: str, keys: Sequence[str], value: str,

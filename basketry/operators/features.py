@@ -180,21 +180,6 @@ def delivery_stat_tables(df: DataFrame, keys: Sequence[str] = DELIVERY_KEYS,
     return split_groupings(long, groupings, lambda g, c: stat_name("delivery_time", g, c))
 
 
-def all_delivery_tables(binned: DataFrame) -> list[KeyedTable]:
-    """A26 + A28 + A29 in one expansion: 5 single keys (6 statistics), 6
-    bin/weekday keys, 14 pairs and 16 triples (7 statistics each)."""
-    single = [[k] for k in DELIVERY_KEYS]
-    groupings = (single + [[k] for k in BIN_COLUMNS + ["order_weekday", "delivery_weekday"]]
-                 + attribute_subsets(INTERACTION_ATTRS, [2]) + attribute_subsets(INTERACTION_ATTRS, [3]))
-    long = multi_group_stats(binned, groupings, "delivery_time", DELIVERY_STATS7)
-
-    def name(g, c):
-        if c == "skew" and g in single:
-            return None
-        return stat_name("delivery_time", g, c)
-    return split_groupings(long, groupings, name)
-
-
 def delivery_stats(df: DataFrame, keys: Sequence[str] = DELIVERY_KEYS,
                    stats: Sequence[str] = DELIVERY_STATS) -> DataFrame:
     return join_tables(df, delivery_stat_tables(df, keys, stats))
@@ -265,8 +250,7 @@ BIN_COLUMNS = ["order_sum_bins", "item_price_bins", "age_bins", "reg_age_bins"]
 
 
 def binned_stat_tables(binned: DataFrame) -> list[KeyedTable]:
-    return [([k], group_stats(binned, [k], "delivery_time", DELIVERY_STATS7))
-            for k in BIN_COLUMNS + ["order_weekday", "delivery_weekday"]]
+    return delivery_stat_tables(binned, BIN_COLUMNS + ["order_weekday", "delivery_weekday"], DELIVERY_STATS7)
 
 
 def binned_delivery_stats(df: DataFrame) -> DataFrame:
@@ -280,7 +264,9 @@ def binned_delivery_stats(df: DataFrame) -> DataFrame:
 
 def interaction_tables(df: DataFrame, attrs: Sequence[str] = INTERACTION_ATTRS,
                        sizes: Sequence[int] = (2, 3)) -> list[KeyedTable]:
-    return [(s, group_stats(df, s, "delivery_time", DELIVERY_STATS7)) for s in attribute_subsets(attrs, sizes)]
+    groupings = attribute_subsets(attrs, sizes)
+    long = multi_group_stats(df, groupings, "delivery_time", DELIVERY_STATS7)
+    return split_groupings(long, groupings, lambda g, c: stat_name("delivery_time", g, c))
 
 
 def interaction_stats(df: DataFrame, attrs: Sequence[str] = INTERACTION_ATTRS,
@@ -291,14 +277,6 @@ def interaction_stats(df: DataFrame, attrs: Sequence[str] = INTERACTION_ATTRS,
 
 # -- A30, W4, W5 ---------------------------------------------------------------
 
-def _running_table(df: DataFrame, keys: Sequence[str], running: str) -> DataFrame:
-    """Per (keys, order_date): rows up to and including that day. One row
-    per (keys, day) is built first; the running sum runs on that table."""
-    daily = df.groupBy(*keys, "order_date").agg(_count().alias("_c"))
-    w = Window.partitionBy(*keys).orderBy("order_date").rowsBetween(Window.unboundedPreceding, 0)
-    return daily.withColumn(running, F.sum("_c").over(w)).drop("_c")
-
-
 def user_count_tables(df: DataFrame, attrs: Sequence[str] = USER_ATTRS) -> list[KeyedTable]:
     subsets = [[]] + attribute_subsets(attrs, range(1, len(attrs) + 1))
     totals = [["user_id", *s] for s in subsets]

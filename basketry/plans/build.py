@@ -17,7 +17,7 @@ Stages (each a Spark job graph, no rows pass through the driver):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from basketry.operators import features as FT
 from basketry.functions.columns import STATE_SHORT_NAMES
@@ -29,7 +29,9 @@ from basketry.sources.fixtures import FIXTURE_STATE_NAMES, order_items
 LABEL_ENCODED = ["size", "item_color", "user_title", "user_state", "mode_size", "mode_item_color"]
 
 
-ROW_KEY = ["split", "order_item_id"]
+#: Numbers the rows of the written base frame, as items may repeat in every
+#: column; the families are joined back on it.
+ROW_KEY = ["_row"]
 
 
 def feature_families(base: DataFrame) -> list[DataFrame]:
@@ -46,8 +48,7 @@ def feature_families(base: DataFrame) -> list[DataFrame]:
     return [f.select(*ROW_KEY, *[c for c in f.columns if c not in have]) for f in fams]
 
 
-def build_features(spark: SparkSession, sf_dir: str | None = None, raw: DataFrame | None = None,
-                   write_stages: bool = True) -> DataFrame:
+def build_features(spark: SparkSession, sf_dir: str | None = None, raw: DataFrame | None = None) -> DataFrame:
     """The 467-column frame (plus ``split``).
 
     Each family frame is written once (row key + its columns); the wide
@@ -56,22 +57,20 @@ def build_features(spark: SparkSession, sf_dir: str | None = None, raw: DataFram
     joins (one exchange per input) and the plan stays small."""
     if raw is None:
         raw = order_items(spark, sf_dir)
-    raw = materialize(raw, "raw") if write_stages else raw
+    raw = materialize(raw, "raw")
     clean = clean_orders(raw, state_names=FIXTURE_STATE_NAMES if sf_dir else STATE_SHORT_NAMES)
-    clean = materialize(clean, "clean") if write_stages else clean
+    clean = materialize(clean, "clean")
     base = FT.add_bins(FT.order_totals(FT.date_parts(clean)))
-    base = materialize(base, "base") if write_stages else base
+    base = materialize(base.withColumn("_row", F.monotonically_increasing_id()), "base")
 
-    fams = feature_families(base)
-    if write_stages:
-        fams = [materialize(f, "family") for f in fams]
+    fams = [materialize(f, "family") for f in feature_families(base)]
     wide = base
-    ordered = list(base.columns)
+    ordered = [c for c in base.columns if c not in ROW_KEY]
     for f in fams:
         wide = wide.join(f, ROW_KEY, "left")
         ordered += [c for c in f.columns if c not in ROW_KEY]
     ordered = [c for c in ordered if c not in FT.BIN_COLUMNS]
     wide = wide.select(*ordered)
-    wide = materialize(wide, "wide") if write_stages else wide
+    wide = materialize(wide, "wide")
     codes = FT.label_code_tables(wide, LABEL_ENCODED)
     return FT.apply_label_codes(wide, codes).select(*ordered)

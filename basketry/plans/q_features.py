@@ -1,11 +1,12 @@
 """Registered queries: feature families (P25, A16-A31, W1-W5, P28, P31,
-P33, P34) with their DuckDB oracle SQL."""
+P33, P34) and the whole build, with their DuckDB oracle SQL."""
 
 from __future__ import annotations
 
 from basketry.functions.aggregates import attribute_subsets, group_stats_sql, stat_name
 from basketry.functions.columns import AGE_EDGES, REG_AGE_EDGES
 from basketry.operators import features as FT
+from basketry.plans import build as B
 from basketry.plans.common import clean_items
 from basketry.plans.oracle_sql import with_clean
 from basketry.plans.registry import register
@@ -30,7 +31,12 @@ def _keyed(df, cols):
     return df.select(*KEY, *cols)
 
 
-def _sql(select, *ctes):
+#: Select and CTEs of each family's SQL, by query name.
+_FAMILY: dict[str, tuple] = {}
+
+
+def _sql(name, select, *ctes):
+    _FAMILY[name] = (select, ctes)
     return with_clean(select, FEAT_CTE, *ctes)
 
 
@@ -43,13 +49,13 @@ _DP = ["order_weekday", "delivery_weekday", "order_month", "delivery_month",
        "order_day", "delivery_day", "order_week", "delivery_week"]
 
 
-@register("date_parts", _sql(f"SELECT split, order_item_id, {', '.join(_DP)} FROM feat"))
+@register("date_parts", _sql("date_parts", f"SELECT split, order_item_id, {', '.join(_DP)} FROM feat"))
 def q_date_parts(spark, sf_dir):
     return _keyed(_base(spark, sf_dir), _DP)
 
 
 # -- A16 -----------------------------------------------------------------------
-@register("order_totals", _sql(f"""
+@register("order_totals", _sql("order_totals", f"""
 SELECT split, order_item_id, order_item_count, order_sum,
        {_r2('order_sum / order_item_count')} AS average_item_price_order FROM feat"""))
 def q_order_totals(spark, sf_dir):
@@ -69,7 +75,7 @@ for _s in _SAME:
                   f"AS order_number_different_{_n}"]
 
 
-@register("same_item_counts", _sql(f"SELECT split, order_item_id, {', '.join(_same_sql)} FROM feat"))
+@register("same_item_counts", _sql("same_item_counts", f"SELECT split, order_item_id, {', '.join(_same_sql)} FROM feat"))
 def q_same_item_counts(spark, sf_dir):
     df = FT.same_item_counts(FT.order_totals(_base(spark, sf_dir)))
     return _keyed(df, _same_cols)
@@ -89,7 +95,7 @@ _nu_ctes = [f"nu{i} AS (SELECT {', '.join(k)}, count(DISTINCT {c}) AS {n} FROM f
 _nu_joins = " ".join(f"LEFT JOIN nu{i} USING ({', '.join(k)})" for i, (n, c, k) in enumerate(_NU))
 
 
-@register("order_nunique", _sql(
+@register("order_nunique", _sql("order_nunique",
     f"SELECT split, order_item_id, {', '.join(n for n, _, _ in _NU)} FROM feat {_nu_joins}", *_nu_ctes))
 def q_order_nunique(spark, sf_dir):
     return _keyed(FT.order_nunique(_base(spark, sf_dir)), [n for n, _, _ in _NU])
@@ -111,7 +117,7 @@ _pdiff = [f"item_price_{k[0]}_{s}" for k in _pk for s in FT.PRICE_STATS if s in
 _pdiff_sql = [f'COALESCE({c}, 0.0) - CAST(item_price AS DOUBLE) AS "price-{c}"' for c in _pdiff]
 
 
-@register("price_stats", _sql(
+@register("price_stats", _sql("price_stats",
     f"SELECT split, order_item_id, {', '.join(_pcols + _pdiff_sql)} FROM feat {_pjoins}", *_pctes))
 def q_price_stats(spark, sf_dir):
     df = FT.price_stats(_base(spark, sf_dir))
@@ -126,7 +132,7 @@ _mode_ctes = [f"""md_{c} AS (SELECT user_id, arg_min({c}, rk) AS mode_{c} FROM (
     FROM feat GROUP BY user_id, {c}) GROUP BY user_id)""" for c in _MODE_COLS]
 
 
-@register("user_modes", _sql(
+@register("user_modes", _sql("user_modes",
     f"SELECT split, order_item_id, {', '.join('mode_' + c for c in _MODE_COLS)} FROM feat "
     + " ".join(f"LEFT JOIN md_{c} USING (user_id)" for c in _MODE_COLS), *_mode_ctes))
 def q_user_modes(spark, sf_dir):
@@ -138,7 +144,7 @@ _dk = [["item_id"], ["size"], ["brand_id"], ["item_color"], ["user_id"]]
 _dctes, _djoins, _dcols = _stats_sql("feat", _dk, "delivery_time", FT.DELIVERY_STATS, "ds")
 
 
-@register("delivery_stats", _sql(f"SELECT split, order_item_id, {', '.join(_dcols)} FROM feat {_djoins}", *_dctes))
+@register("delivery_stats", _sql("delivery_stats", f"SELECT split, order_item_id, {', '.join(_dcols)} FROM feat {_djoins}", *_dctes))
 def q_delivery_stats(spark, sf_dir):
     df = FT.delivery_stats(_base(spark, sf_dir))
     return _keyed(df, [stat_name("delivery_time", k, s) for k in _dk for s in FT.DELIVERY_STATS])
@@ -179,7 +185,7 @@ for _date, _kind in (("order_date", "order"), ("delivery_date", "delivery")):
         df = FT.recency_features(_base(spark, sf_dir), _date, _kind)
         return _keyed(df, _recency_cols(_kind))
 
-    register(f"{_kind}_recency", _sql(f"SELECT split, order_item_id, {', '.join(_cols)} FROM feat {_j}", *_c))(_q)
+    register(f"{_kind}_recency", _sql(f"{_kind}_recency", f"SELECT split, order_item_id, {', '.join(_cols)} FROM feat {_j}", *_c))(_q)
 
 
 # -- P33, P34, A28 -------------------------------------------------------------
@@ -209,7 +215,7 @@ BINS_CTES = [
       FROM feat CROSS JOIN e_o CROSS JOIN e_p)"""]
 
 
-@register("bins", _sql("SELECT split, order_item_id, order_sum_bins, item_price_bins, age_bins, reg_age_bins "
+@register("bins", _sql("bins", "SELECT split, order_item_id, order_sum_bins, item_price_bins, age_bins, reg_age_bins "
                        "FROM binned", *BINS_CTES))
 def q_bins(spark, sf_dir):
     df = FT.add_bins(FT.order_totals(_base(spark, sf_dir)))
@@ -220,7 +226,7 @@ _bk = [[c] for c in FT.BIN_COLUMNS + ["order_weekday", "delivery_weekday"]]
 _bctes, _bjoins, _bcols = _stats_sql("binned", _bk, "delivery_time", FT.DELIVERY_STATS7, "bs")
 
 
-@register("binned_delivery_stats", _sql(
+@register("binned_delivery_stats", _sql("binned_delivery_stats",
     f"SELECT split, order_item_id, {', '.join(_bcols)} FROM binned {_bjoins}", *BINS_CTES, *_bctes))
 def q_binned(spark, sf_dir):
     df = FT.binned_delivery_stats(FT.order_totals(_base(spark, sf_dir)))
@@ -236,7 +242,7 @@ for _size, _label in ((2, "pairs"), (3, "triples")):
         df = FT.interaction_stats(_base(spark, sf_dir), sizes=[_size])
         return _keyed(df, [stat_name("delivery_time", k, s) for k in _ik for s in FT.DELIVERY_STATS7])
 
-    register(f"interaction_{_label}", _sql(
+    register(f"interaction_{_label}", _sql(f"interaction_{_label}",
         f"SELECT split, order_item_id, {', '.join(_icols)} FROM feat {_ijoins}", *_ictes))(_qi)
 
 
@@ -257,7 +263,7 @@ for _s in _US:
                    f"UNBOUNDED PRECEDING AND CURRENT ROW) AS user_id_{_n}_cumsum_items_ordered")
 
 
-@register("user_counts", _sql(f"SELECT split, order_item_id, {', '.join(_uc_sql)} FROM feat"))
+@register("user_counts", _sql("user_counts", f"SELECT split, order_item_id, {', '.join(_uc_sql)} FROM feat"))
 def q_user_counts(spark, sf_dir):
     return _keyed(FT.user_counts(_base(spark, sf_dir)), _uc_cols)
 
@@ -276,7 +282,7 @@ for _i, _s in enumerate(attribute_subsets(FT.USER_ATTRS, range(0, 3))):
     _un_cols += _names
 
 
-@register("user_nunique", _sql(f"SELECT split, order_item_id, {', '.join(_un_cols)} FROM feat {' '.join(_un_joins)}",
+@register("user_nunique", _sql("user_nunique", f"SELECT split, order_item_id, {', '.join(_un_cols)} FROM feat {' '.join(_un_joins)}",
                                *_un_ctes))
 def q_user_nunique(spark, sf_dir):
     return _keyed(FT.user_nunique(_base(spark, sf_dir)), _un_cols)
@@ -286,8 +292,28 @@ def q_user_nunique(spark, sf_dir):
 _LE = ["size", "item_color", "user_title", "user_state"]
 
 
-@register("label_encode", _sql(
+@register("label_encode", _sql("label_encode",
     "SELECT split, order_item_id, "
     + ", ".join(f"CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS INTEGER) AS {c}" for c in _LE) + " FROM feat"))
 def q_label_encode(spark, sf_dir):
     return _keyed(FT.label_encode(_base(spark, sf_dir), _LE), _LE)
+
+
+# -- the whole build -----------------------------------------------------------
+_BUILD = ["same_item_counts", "order_nunique", "price_stats", "user_modes", "delivery_stats", "order_recency",
+          "delivery_recency", "binned_delivery_stats", "interaction_pairs", "interaction_triples", "user_counts",
+          "user_nunique"]
+_build_ctes = [FEAT_CTE.replace("feat AS (\n  SELECT *", "feat AS MATERIALIZED (\n  SELECT row_number() OVER () AS rid, *"), *BINS_CTES, f"""wide0 AS (SELECT * EXCLUDE ({', '.join(FT.BIN_COLUMNS)}),
+    {_r2('order_sum / order_item_count')} AS average_item_price_order FROM binned)"""]
+for _name in _BUILD:
+    _select, _ctes = _FAMILY[_name]
+    _build_ctes += [c for c in _ctes if c not in BINS_CTES] + [f"fam_{_name} AS ({_select.replace('SELECT split, order_item_id', 'SELECT rid')})"]
+_codes = ", ".join(f"CAST(dense_rank() OVER (ORDER BY {c} NULLS LAST) - 1 AS INTEGER) AS {c}" for c in B.LABEL_ENCODED)
+
+
+@register("build_features", with_clean(
+    f"SELECT * EXCLUDE (rid) REPLACE ({_codes}) FROM (SELECT * FROM wide0 "
+    + " ".join(f"JOIN fam_{_name} USING (rid)" for _name in _BUILD) + ")", *_build_ctes))
+def q_build_features(spark, sf_dir):
+    """All 467 columns (and ``split``) of every order item."""
+    return B.build_features(spark, sf_dir)
