@@ -4,17 +4,15 @@ Every window is partitioned by ``symbol`` and ordered by date: the series
 of different symbols run in parallel and a global ordering never collapses
 the job into one task. Lags, rolling means and rates of change are frame
 functions; the two recursive smoothers (T3 average, Wilder's ATR) cannot
-be written as a frame aggregate and run per symbol in ``applyInPandas``
-over that symbol's daily rows (bounded by the number of days).
+be written as a frame aggregate and are folds over a symbol's rows in date
+order (bounded by the number of days).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MA_WINDOWS = (7, 14, 30, 60, 90)
@@ -81,84 +79,47 @@ def rate_of_change(df: DataFrame, windows: Sequence[int] = MA_WINDOWS) -> DataFr
 
 # -- W11, W12: recursive smoothers ------------------------------------------------
 
-def _ema_seeded(x: np.ndarray, n: int) -> np.ndarray:
-    """EMA with k = 2/(n+1) seeded by the mean of the first n inputs;
-    output aligned with x, NaN before the seed."""
-    out = np.full(len(x), np.nan)
-    if len(x) < n:
-        return out
-    k = 2.0 / (n + 1.0)
-    e = x[:n].mean()
-    out[n - 1] = e
-    for i in range(n, len(x)):
-        e = k * x[i] + (1.0 - k) * e
-        out[i] = e
-    return out
-
-
-def t3(x: np.ndarray, n: int = 5, vfactor: float = 0.7) -> np.ndarray:
-    """Tillson T3: six chained seeded EMAs combined with the volume factor;
-    the first 6 * (n - 1) outputs are NaN."""
-    e = x.astype(float)
-    chain = []
-    valid_from = 0
-    for _ in range(6):
-        seg = _ema_seeded(e[valid_from:], n)
-        full = np.full(len(x), np.nan)
-        full[valid_from:] = seg
-        chain.append(full)
-        valid_from += n - 1
-        e = full
+def seeded_ema(x: Column, n: int, k: float) -> Column:
+    """Exponential mean of an array with weight ``k``, seeded by the mean of
+    its first ``n`` non-null values; null before the seed and where the
+    array is null. Wilder's average is the one with ``k`` = 1 / n."""
+    start = F.struct(F.lit(0).alias("c"), F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out"))
+
+    def step(acc: Column, v: Column) -> Column:
+        c = F.when(v.isNull(), acc["c"]).otherwise(acc["c"] + 1)
+        s = (F.when(v.isNull(), acc["s"]).when(c < n, acc["s"] + v).when(c == n, (acc["s"] + v) / n)
+              .otherwise(k * v + (1 - k) * acc["s"]))
+        seen = F.when(v.isNotNull() & (c >= n), s)
+        return F.struct(c.alias("c"), s.alias("s"), F.concat(acc["out"], F.array(seen)).alias("out"))
+    return F.aggregate(x, start, step, lambda acc: acc["out"])
+
+
+def indicators(df: DataFrame, period: int = 5, vfactor: float = 0.7, atr_period: int = 14) -> DataFrame:
+    """W11 + W12: T3 Bollinger bands of the lagged return (2 population
+    standard deviations; T3 chains six seeded means) and the one-day-lagged
+    average true range, per symbol.
+
+    A symbol's rows are put in date order into one array, folded, and
+    expanded again: one shuffle by symbol, arrays as long as its days."""
+    w, before = _w(), F.lag("close").over(_w())
+    win = w.rowsBetween(-(period - 1), 0)
+    src = df.withColumns({
+        "_tr": F.when(before.isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before),
+                                                     F.abs(F.col("low") - before)).cast("double")),
+        "_std": F.when(F.count("return_t-1").over(win) == period, F.stddev_pop("return_t-1").over(win))})
+    rest = [c for c in src.columns if c not in ("symbol", "dt")]
+    arr = src.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("dt", *[F.col(f"`{c}`") for c in rest]))).alias("_d"))
+    arr = arr.withColumn("_e0", F.transform("_d", lambda r: r["return_t-1"].cast("double")))
+    for j in range(1, 7):
+        arr = arr.withColumn(f"_e{j}", seeded_ema(F.col(f"_e{j - 1}"), period, 2 / (period + 1)))
+    arr = arr.withColumn("_atr", seeded_ema(F.transform("_d", lambda r: r["_tr"]), atr_period, 1 / atr_period))
+    out = arr.select("symbol", F.inline(F.arrays_zip("_d", "_e3", "_e4", "_e5", "_e6", "_atr")))
+    out = out.select("symbol", "_d.*", "_e3", "_e4", "_e5", "_e6", "_atr")
     a = vfactor
-    c1, c2 = -a ** 3, 3 * a ** 2 + 3 * a ** 3
-    c3, c4 = -6 * a ** 2 - 3 * a - 3 * a ** 3, 1 + 3 * a + a ** 3 + 3 * a ** 2
-    return c1 * chain[5] + c2 * chain[4] + c3 * chain[3] + c4 * chain[2]
-
-
-def wilder_atr(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int = 14) -> np.ndarray:
-    """Average true range: seed = mean of the first n true ranges (from the
-    second bar on), then (prev * (n - 1) + tr) / n."""
-    out = np.full(len(close), np.nan)
-    if len(close) <= n:
-        return out
-    prev = close[:-1]
-    tr = np.maximum.reduce([high[1:] - low[1:], np.abs(high[1:] - prev), np.abs(low[1:] - prev)])
-    atr = tr[:n].mean()
-    out[n] = atr
-    for i in range(n + 1, len(close)):
-        atr = (atr * (n - 1) + tr[i - 1]) / n
-        out[i] = atr
-    return out
-
-
-def _indicators(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("dt")
-    x = pdf["return_t-1"].to_numpy(dtype=float)
-    # leading nulls are skipped before smoothing (and stay null)
-    first = int(np.argmax(~np.isnan(x))) if np.any(~np.isnan(x)) else len(x)
-    mid = np.full(len(x), np.nan)
-    std = np.full(len(x), np.nan)
-    if first < len(x):
-        xs = x[first:]
-        mid[first:] = t3(xs, 5, 0.7)
-        win = pd.Series(xs).rolling(5)
-        std[first:] = win.std(ddof=0).to_numpy()
-    atr = wilder_atr(pdf["high"].to_numpy(float), pdf["low"].to_numpy(float), pdf["close"].to_numpy(float), 14)
-    atr_lag = np.concatenate([[np.nan], atr[:-1]])
-    return pd.DataFrame({"symbol": pdf["symbol"].to_numpy(), "dt": pdf["dt"].to_numpy(),
-                         "upper_band": mid + 2 * std, "middle_band": mid, "lower_band": mid - 2 * std,
-                         "ATR_14": atr_lag})
-
-
-def indicators(df: DataFrame) -> DataFrame:
-    """W11 + W12: T3 Bollinger bands of the lagged return (period 5, 2
-    population standard deviations) and the one-day-lagged 14-day ATR,
-    per symbol. Only the four needed columns travel to Python."""
-    src = df.select("symbol", "dt", "return_t-1", "high", "low", "close")
-    out = src.groupBy("symbol").applyInPandas(
-        _indicators, "symbol string, dt date, upper_band double, middle_band double, "
-                     "lower_band double, ATR_14 double")
-    return df.join(out, ["symbol", "dt"], "left")
+    mid = (-a ** 3 * F.col("_e6") + (3 * a ** 2 + 3 * a ** 3) * F.col("_e5")
+           - (6 * a ** 2 + 3 * a + 3 * a ** 3) * F.col("_e4") + (1 + 3 * a + a ** 3 + 3 * a ** 2) * F.col("_e3"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], (mid + 2 * F.col("_std")).alias("upper_band"), mid.alias("middle_band"),
+                      (mid - 2 * F.col("_std")).alias("lower_band"), F.lag("_atr").over(w).alias(f"ATR_{atr_period}"))
 
 
 def price_features(bars: DataFrame, train_start: str, train_end: str, with_indicators: bool = True) -> DataFrame:

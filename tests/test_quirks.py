@@ -113,31 +113,39 @@ def test_rocp(spark):
     assert got[:3] == [None, None, None] and math.isclose(got[3], 0.2)
 
 
-def test_t3_and_atr_against_loop():
-    from basketry.operators.series import t3, wilder_atr
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=60)
-    out = t3(x, 5, 0.7)
-    assert np.isnan(out[:24]).all() and not np.isnan(out[24:]).any()
-    # direct recursion of the six EMAs
-    k = 2 / 6
-    def ema(v):
-        o = [np.nan] * len(v)
-        start = next(i for i, a in enumerate(v) if not np.isnan(a))
-        e = np.mean(v[start:start + 5]); o[start + 4] = e
-        for i in range(start + 5, len(v)):
-            e = k * v[i] + (1 - k) * e; o[i] = e
+def test_t3_and_atr_against_loop(spark):
+    from basketry.operators.series import indicators
+    x = np.random.default_rng(0).normal(size=60)
+    rows = [("s", i, float(v), float(v) + 3, float(v) - 3, float(v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame([("s", -1, None, 3.0, -3.0, 0.0), *rows], "symbol string, dt int, `return_t-1` double, high double, low double, close double")
+    got = indicators(df).orderBy("dt").collect()
+
+    def ema(v, n, k):
+        o, start = [np.nan] * len(v), next(i for i, a in enumerate(v) if not np.isnan(a))
+        e = o[start + n - 1] = np.mean(v[start:start + n])
+        for i in range(start + n, len(v)):
+            e = o[i] = k * v[i] + (1 - k) * e
         return np.array(o)
     e = [x]
     for _ in range(6):
-        e.append(ema(e[-1]))
+        e.append(ema(e[-1], 5, 2 / 6))
     a = 0.7
     ref = (-a ** 3) * e[6] + (3 * a ** 2 + 3 * a ** 3) * e[5] + (-6 * a ** 2 - 3 * a - 3 * a ** 3) * e[4] \
         + (1 + 3 * a + a ** 3 + 3 * a ** 2) * e[3]
-    assert np.allclose(out[24:], ref[24:])
-    h, lo, c = x + 3, x - 3, x
-    atr = wilder_atr(h, lo, c, 14)
-    assert np.isnan(atr[:14]).all() and not np.isnan(atr[14])
+    mid = [r["middle_band"] for r in got][1:]
+    assert mid[:24] == [None] * 24 and np.allclose(mid[24:], ref[24:])
+    assert math.isclose(got[-1]["upper_band"], ref[-1] + 2 * np.std(x[-5:]))
+    close = np.concatenate([[0.0], x])
+    tr = [max(6.0, abs(v + 3 - p), abs(v - 3 - p)) for p, v in zip(close, x)]
+    atr = ema(np.array(tr), 14, 1 / 14)
+    out = [r["ATR_14"] for r in got]
+    assert out[:15] == [None] * 15 and np.allclose(out[15:], atr[13:-1])
+
+
+def test_grouping_tables_of_an_empty_frame(spark):
+    from basketry.operators.features import user_counts
+    df = spark.createDataFrame([], "user_id long, item_id long, brand_id string, item_color string, size string, order_date date")
+    assert user_counts(df).count() == 0
 
 
 def test_subsets():
