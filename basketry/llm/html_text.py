@@ -3,9 +3,11 @@
 A small tree builder reads tags, comments and raw text, supplies implied end
 tags (``p``, ``li``, ``dt``/``dd``, table parts, options, ...) and moves
 stray table text before its table. Visibility rules hide what a page does not
-show: head, scripts, styles and templates; ``hidden`` attributes; inline
-styles and simple style-sheet rules with ``display: none`` or ``visibility:
-hidden``; closed ``details`` and ``dialog``. All other text is emitted, laid
+show: head, scripts, styles and templates; ``hidden`` attributes; closed
+``details`` and ``dialog``; what inline styles and simple style-sheet rules
+(one tag, class or id selector without combinators) say of ``display`` and
+``visibility``, by importance, specificity and order. Tags and text that may
+not stand in head end it. All other text is emitted, laid
 out as blocks with spacing, lists with markers and indents, preformatted text
 as it stands, and table cells in aligned columns.
 
@@ -58,8 +60,20 @@ SECTIONS = ("thead", "tbody", "tfoot")
 NEXT = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|(!--)|([!?/]))")
 ATTR = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)?(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
 SPACE = re.compile(r"[ \t\n\r\f]+")
-NO_DISPLAY = re.compile(r"display\s*:\s*none|content-visibility\s*:\s*hidden")
-NOT_SEEN = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)")
+#: What may stand in head, and in a noscript there; anything else ends head.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
+IN_HEAD_NOSCRIPT = frozenset("basefont bgsound link meta noframes style".split())
+HTML_SPACE = " \t\n\r\f"
+#: Values that a declaration must have to count; the global ones go for all.
+GLOBAL = frozenset("inherit initial unset revert revert-layer".split())
+VALUES = {
+    "display": GLOBAL | frozenset("none contents block inline inline-block flow flow-root list-item run-in flex inline-flex grid inline-grid math ruby "
+                                  "ruby-base ruby-text table inline-table table-row table-cell table-column table-caption table-row-group "
+                                  "table-header-group table-footer-group table-column-group -webkit-box -webkit-inline-box -webkit-flex "
+                                  "-webkit-inline-flex".split()),
+    "visibility": GLOBAL | {"visible", "hidden", "collapse"},
+    "content-visibility": GLOBAL | {"visible", "hidden", "auto"},
+}
 SELECTOR = re.compile(r"([a-z][a-z0-9-]*)?((?:[.#][\w-]+)*)$", re.I)
 
 
@@ -92,9 +106,17 @@ def build(page: str) -> Node:
     root = Node("#root", {})
     stack = [root]
 
+    def leave_head() -> None:
+        if stack[-1].tag == "noscript" and stack[-2].tag == "head":
+            stack.pop()
+        if stack[-1].tag == "head":
+            stack.pop()
+
     def text(data: str) -> None:
         if not data:
             return
+        if stack[-1].tag in ("head", "noscript") and data.strip(HTML_SPACE):
+            leave_head()
         if stack[-1].tag in TABLE_PARTS and data.strip():
             k = max(i for i, x in enumerate(stack) if x.tag == "table") if any(x.tag == "table" for x in stack) else 0
             if k:  # stray table text goes before its table
@@ -114,6 +136,8 @@ def build(page: str) -> Node:
             del stack[found:]
 
     def open_(tag: str, attrs: dict[str, str]) -> None:
+        if tag not in (IN_HEAD_NOSCRIPT if stack[-1].tag == "noscript" else IN_HEAD):
+            leave_head()
         if tag in CLOSES_P:
             close({"p"}, SCOPE)
         if tag in HEADINGS and stack[-1].tag in HEADINGS:
@@ -160,6 +184,7 @@ def build(page: str) -> Node:
                     stack[-1].kids.append(page[at:])
                     at = n
             elif tag == "br":
+                leave_head()
                 stack[-1].kids.append(Node("br", {}))
             elif tag == "p" and not any(x.tag == "p" for x in stack):
                 stack[-1].kids.append(Node("p", {}))
@@ -192,20 +217,41 @@ def _end_tag(stack: list[Node], tag: str) -> None:
 
 # ---- visibility -------------------------------------------------------------
 
-def hidden_selectors(root: Node) -> list[tuple[str, frozenset, frozenset, bool]]:
-    """(tag, classes, ids, no display) of simple style-sheet rules that hide."""
-    out, todo = [], [root]
+Rule = tuple[str, frozenset, frozenset, tuple, dict]
+
+
+def _declared(body: str) -> dict[str, tuple[bool, str]]:
+    """(important, value) of the declarations of ``VALUES`` that win within a block."""
+    out: dict[str, tuple[bool, str]] = {}
+    for part in body.lower().split(";"):
+        name, _, value = part.partition(":")
+        name = name.strip()
+        if name in VALUES:
+            value, _, mark = value.partition("!")
+            words, important = value.split(), mark.strip() == "important"
+            if words and VALUES[name].issuperset(words) and important >= out.get(name, (False, ""))[0]:
+                out[name] = (important, "none" if "none" in words else words[0])
+    return out
+
+
+def visibility_rules(root: Node) -> dict[str, list[Rule]]:
+    """Simple style-sheet rules on visibility as (tag, classes, ids,
+    (specificity, position), declarations), by one id, class or tag they need."""
+    out: dict[str, list[Rule]] = {}
+    todo, n = [root], 0
     while todo:
         node = todo.pop()
-        for kid in node.kids:
-            if isinstance(kid, Node):
-                todo.append(kid)
-            elif node.tag == "style":
-                out += _rules(kid)
+        if isinstance(node, Node):
+            if node.tag == "style":
+                for tag, classes, ids, marks, declared in _rules("".join(k for k in node.kids if isinstance(k, str))):
+                    n += 1
+                    key = f"#{min(ids)}" if ids else f".{min(classes)}" if classes else tag
+                    out.setdefault(key, []).append((tag, classes, ids, (*marks, n), declared))
+            todo.extend(reversed(node.kids))
     return out
 
 
-def _rules(sheet: str) -> list[tuple[str, frozenset, frozenset, bool]]:
+def _rules(sheet: str) -> list[Rule]:
     sheet = re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet, flags=re.S)
     out, at = [], 0
     while (brace := sheet.find("{", at)) >= 0:
@@ -221,41 +267,53 @@ def _rules(sheet: str) -> list[tuple[str, frozenset, frozenset, bool]]:
                 break
             continue
         end = sheet.find("}", brace)
-        body = sheet[brace + 1:end if end >= 0 else len(sheet)].lower()
-        gone, unseen = NO_DISPLAY.search(body), NOT_SEEN.search(body)
-        if gone or (unseen and unseen[1] != "visible"):
+        declared = _declared(sheet[brace + 1:end if end >= 0 else len(sheet)])
+        if declared:
             for s in selectors.split(","):
                 m = SELECTOR.match(s.strip())
                 if m and m[0]:
                     marks = re.findall(r"([.#])([\w-]+)", m[2])
-                    out.append(((m[1] or "").lower(), frozenset(x for k, x in marks if k == "."), frozenset(x for k, x in marks if k == "#"), bool(gone)))
+                    kinds = [k for k, _ in marks]
+                    out.append(((m[1] or "").lower(), frozenset(x for k, x in marks if k == "."), frozenset(x for k, x in marks if k == "#"),
+                                (kinds.count("#"), kinds.count("."), int(bool(m[1]))), declared))
         if end < 0:
             break
         at = end + 1
     return out
 
 
-def _shown(node: Node, seen: bool, selectors: list) -> tuple[bool, bool]:
-    """(takes part in layout, its own text is visible)."""
+def _shown(node: Node, seen: bool, rules: dict[str, list[Rule]]) -> tuple[bool, bool]:
+    """(takes part in layout, its own text is visible): of each property the
+    important, inline, more specific, later declaration counts."""
     attrs, tag = node.attrs, node.tag
-    if tag in HIDDEN or "hidden" in attrs or (tag == "dialog" and "open" not in attrs) or (tag == "input" and attrs.get("type", "").lower() == "hidden"):
+    if tag in HIDDEN or (tag == "input" and attrs.get("type", "").lower() == "hidden"):
         return False, False
-    if selectors:
+    best: dict[str, tuple[tuple, str]] = {}
+
+    def offer(declared: dict[str, tuple[bool, str]], inline: bool, rank: tuple) -> None:
+        for name, (important, value) in declared.items():
+            if name not in best or (important, inline, rank) >= best[name][0]:
+                best[name] = ((important, inline, rank), value)
+
+    if rules:
         classes, name = set(attrs.get("class", "").split()), attrs.get("id", "")
-        for s_tag, s_classes, s_ids, gone in selectors:
-            if (not s_tag or s_tag == tag) and s_classes <= classes and s_ids <= {name}:
-                if gone:
-                    return False, False
-                seen = False
-    style = attrs.get("style")
-    if style:
-        style = style.lower()
-        if NO_DISPLAY.search(style):
-            return False, False
-        m = NOT_SEEN.search(style)
-        if m:
-            seen = m[1] == "visible"
-    return True, seen
+        for key in (tag, f"#{name}", *(f".{c}" for c in classes)):
+            for s_tag, s_classes, s_ids, rank, declared in rules.get(key, ()):
+                if (not s_tag or s_tag == tag) and s_classes <= classes and s_ids <= {name}:
+                    offer(declared, False, rank)
+    if attrs.get("style"):
+        offer(_declared(attrs["style"]), True, ())
+    value = {name: v for name, (_, v) in best.items()}
+    display = value.get("display", "revert")
+    if display.startswith("revert"):  # what the browser's own sheet says
+        display = "none" if "hidden" in attrs or (tag == "dialog" and "open" not in attrs) else "inline"
+    until_found = attrs.get("hidden", "").strip().lower() == "until-found"
+    if display == "none" or value.get("content-visibility") == "hidden" or until_found:
+        return False, False
+    own = value.get("visibility")
+    if own in ("hidden", "collapse"):
+        return True, False
+    return True, seen or own in ("visible", "initial")
 
 
 # ---- layout -----------------------------------------------------------------
@@ -366,7 +424,7 @@ def _number(value: str | None, default: int) -> int:
 def render(page: str) -> str:
     """The visible text of a page."""
     root = build(page)
-    selectors = hidden_selectors(root)
+    rules = visibility_rules(root)
     boxes, tables, lists = [Box()], [], []
     # A stack of (node or text, its text is visible, preformatted, leave function).
     todo: list = [(root, True, False, None)]
@@ -380,7 +438,7 @@ def render(page: str) -> str:
             if seen:
                 box.put(node, pre)
             continue
-        shown, seen = _shown(node, seen, selectors)
+        shown, seen = _shown(node, seen, rules)
         if not shown:
             continue
         tag = node.tag

@@ -34,6 +34,32 @@ def test_layout(page):
     assert render(page) == CASES[page]
 
 
+#: Pages whose text is seen though a head is left open or a rule hides some of it.
+SEEN = {
+    "<html><head><title>T</title><body><p>text": "text",
+    "<html><head>\n<meta charset=x><link><style>p{}</style>\n<p>a<p>b": "a\n\nb",
+    "<head><title>T</title>plain <b>text</b>": "plain text",
+    "<head><noscript><link><style>i{}</style></noscript><script>x</script></head><body>a": "a",
+    "<head><noscript><p>a</p></noscript>b": "a\n\nb",
+    "<head><template>t<i>u</i></template><title>v</title></br>w": "w",
+    "<style>.p{display:none} .p.on{display:block}</style><p class=p>a<p class='on p'>b": "b",
+    "<style>.p.on{display:block} .p{display:none}</style><p class=p>a<p class='p on'>b": "b",
+    "<style>.p{display:none}</style><style>.p{display:flex}</style><p class=p>a": "a",
+    "<style>.p{display:flex} .q{display:none}</style><p class='p q'>a<p>b": "b",
+    "<style>.p{display:none} #i{display:block} p{display:none}</style><p id=i class=p>a<p>b": "a",
+    "<style>.p{display:none}</style><p class=p style='display:block'>a<p class=p style='color:red'>b": "a",
+    "<style>.p{display:none !important}</style><p class=p style='display:block'>a<p style='display:none; display:block'>b": "b",
+    "<style>.p{visibility:hidden} .p.on{visibility:visible}</style><p class=p>a<b class='p on'>b</b>c": "b",
+    "<style>.p{display:none;display:nonsense}</style><p class=p>a<p hidden style='display:block'>b<p hidden>c": "b",
+    "<style>.p{display:none}</style><p class=p style='display:revert'>a<div class=p><p style='display:block'>b</div>": "a",
+}
+
+
+@pytest.mark.parametrize("page", list(SEEN))
+def test_seen_text_is_kept(page):
+    assert render(page) == SEEN[page]
+
+
 @pytest.mark.parametrize("page", [
     "<" * 200_000, "<div>" * 60_000 + "x" + "</div>" * 60_000, "<!--" * 80_000, '<a b="' * 80_000, "&" * 200_000, "<ul><li>" * 20_000 + "y",
     "<table><tr><td>" * 5_000 + "z", "<p>" * 80_000, "<style>" + "a{" * 80_000, "<style>" + "@m{" * 30_000, "<a " + "x" * 200_000 + ">k",
