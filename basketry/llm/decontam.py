@@ -1,11 +1,17 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Words are lower-cased runs of letters and digits. A seed hashes the words at
+Words are lower-cased runs of letters and digits; in scripts written without
+spaces each character is a word. A seed hashes the words at
 the positions of a fixed mask and ignores those between, so a substituted
 word under a gap does not change it. The four masks together hit every
 window of 13 words with up to two substitutions, and every one of 8 words
 with one (no qualifying window is missed).
 
+Items under 8 words match exactly, as a run of the document's words: with
+``short_items`` each emits one seed, a hash of all its words, and documents
+the seeds of the lengths that occur. One word can be an item, and then every
+document that holds it overlaps.
+
 Test and training seeds are joined by hash. Each hit fixes how the two texts
 line up; along that line the words around the hit are compared, and an
 overlap counts if some window of 13 words has at least 11 equal (items of 8
@@ -16,8 +22,8 @@ through, with the words around them. The filter is built only if the
 benchmark has at most ``MAX_FILTER`` seeds; beyond that all seeds go into the
 join, in pieces of bounded length.
 
-Edge cases: a null text counts as empty; benchmark items under 8 words are
-too short to tell and never match; repeated rows of either table collapse to
+Edge cases: a null text counts as empty; benchmark items without a word
+never match, and those under 8 words only with ``short_items``; repeated rows of either table collapse to
 one result row per (document id, item id); rows with a null id take part and
 give a null id; empty tables give an empty result, or all documents kept;
 further columns are not read and pass through ``clean``. Texts of any length
@@ -27,7 +33,7 @@ are read whole.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +43,10 @@ from pyspark.sql import DataFrame, functions as F
 from basketry.llm.words import HashFilter, odd_multipliers, scramble, slices, word_hashes
 from basketry.session import materialize
 
-WORD = re.compile(r"\w+")
+#: Letters and signs of scripts without spaces: Thai, Lao, Burmese, Khmer, kana, Han.
+UNSPACED = ("\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ece\u1000-\u103f\u1050-\u108f\u1780-\u17d3\u3005-\u3007\u3041-\u3096\u309d-\u309f"
+            "\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff")
+WORD = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 3, 4, 6), (0, 1, 2, 3, 5, 6), (0, 1, 3, 4, 5, 6))
 WINDOW, WINDOW_EQUAL = 13, 11
 SHORTEST = 8
@@ -51,10 +60,15 @@ PIECE = "doc_id {id}, text_key bigint, piece bigint, start int, words array<bigi
 SEED = pa.struct([("h", pa.int64()), ("p", pa.int32())])
 
 
-def seeds_of(words: np.ndarray) -> list[np.ndarray]:
+def masks_for(lengths: Sequence[int]) -> dict[int, tuple[int, ...]]:
+    """The masks by their salt: the spaced ones, and a full one for each short length."""
+    return dict(enumerate(MASKS)) | {len(MASKS) + n: tuple(range(n)) for n in lengths}
+
+
+def seeds_of(words: np.ndarray, masks: dict[int, tuple[int, ...]]) -> list[np.ndarray]:
     """For each mask the seed hash at every position where the mask fits."""
     out = []
-    for n, mask in enumerate(MASKS):
+    for n, mask in masks.items():
         m = len(words) - mask[-1]
         if m <= 0:
             out.append(np.zeros(0, np.uint64))
@@ -70,7 +84,7 @@ def _seed_list(hashes: np.ndarray, at: np.ndarray) -> list[dict]:
     return [{"h": int(h), "p": int(p)} for h, p in zip(hashes.view(np.int64), at)]
 
 
-def items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", short_items: bool = False) -> DataFrame:
     """The benchmark's items with their word hashes and seeds."""
     rows = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
 
@@ -79,12 +93,13 @@ def items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text")
             ids, keys, words, seeds = [], [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 w = word_hashes(t or "", WORD)
-                if len(w) < SHORTEST:
+                if len(w) < (1 if short_items else SHORTEST):
                     continue
+                masks = masks_for(()) if len(w) >= SHORTEST else {k: m for k, m in masks_for([len(w)]).items() if k >= len(MASKS)}
                 ids.append(i)
                 keys.append(xxhash.xxh3_64_intdigest(w.tobytes()) - (1 << 63))
                 words.append(w.view(np.int64))
-                seeds.append([s for h in seeds_of(w) for s in _seed_list(h, np.arange(len(h)))])
+                seeds.append([s for h in seeds_of(w, masks) for s in _seed_list(h, np.arange(len(h)))])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, batch.schema.field(0).type), pa.array(keys, pa.int64()), pa.array(words, pa.list_(pa.int64())), pa.array(seeds, pa.list_(SEED))],
                 ["item_id", "item_key", "words", "seeds"])
@@ -100,11 +115,16 @@ def _seed_filter(test: DataFrame) -> HashFilter | None:
     return HashFilter(np.array([r[0] for r in hashes], np.int64).view(np.uint64))
 
 
-def pieces(docs: DataFrame, known: HashFilter | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _short_lengths(test: DataFrame) -> list[int]:
+    """Which lengths under ``SHORTEST`` the items have."""
+    return sorted(r[0] for r in test.select(F.size("words").alias("n")).where(F.col("n") < SHORTEST).distinct().collect())
+
+
+def pieces(docs: DataFrame, known: HashFilter | None, id_col: str = "doc_id", text_col: str = "text", lengths: Sequence[int] = ()) -> DataFrame:
     """The parts of documents around seeds that may be the benchmark's."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(known)
+    shared, masks = spark.sparkContext.broadcast(known), masks_for(lengths)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -112,7 +132,7 @@ def pieces(docs: DataFrame, known: HashFilter | None, id_col: str = "doc_id", te
             ends = np.cumsum([len(w) for w in words])
             flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
             hit_at, hit_h, hit_end = [], [], []
-            for mask, h in zip(MASKS, seeds_of(flat)):
+            for mask, h in zip(masks.values(), seeds_of(flat, masks)):
                 at = np.arange(len(h)) if shared.value is None else shared.value.find(h)[0]
                 # A seed must not reach into the next document.
                 at = at[np.searchsorted(ends, at, side="right") == np.searchsorted(ends, at + mask[-1], side="right")]
@@ -155,7 +175,7 @@ def _best_overlap(words: np.ndarray, item: np.ndarray, at: int) -> tuple[int, in
     if high - low < width:
         return None
     equal = np.concatenate([[0], np.cumsum(item[low:high] == words[low + at:high + at])])
-    good = np.flatnonzero(equal[width:] - equal[:-width] >= (WINDOW_EQUAL if width == WINDOW else width - 1))
+    good = np.flatnonzero(equal[width:] - equal[:-width] >= (WINDOW_EQUAL if width == WINDOW else width - 1 if width >= SHORTEST else width))
     if not len(good):
         return None
     a, b = int(good[0]), int(good[-1]) + width
@@ -185,11 +205,11 @@ def _verified(lined: DataFrame) -> DataFrame:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+             item_id_col: str = "item_id", item_text_col: str = "text", short_items: bool = False) -> DataFrame:
     """``doc_id, text_key, item_id, n_words, n_equal, start_word, item_words``
     for every line-up with a qualifying overlap."""
-    test = items(benchmark, item_id_col, item_text_col)
-    train = pieces(docs, _seed_filter(test), id_col, text_col)
+    test = items(benchmark, item_id_col, item_text_col, short_items)
+    train = pieces(docs, _seed_filter(test), id_col, text_col, _short_lengths(test))
     seeds = lambda t, *own: t.select(*own, F.explode("seeds").alias("s"))
     lines = (seeds(train, "piece").select("piece", F.col("s.h").alias("h"), F.col("s.p").alias("p"))
              .join(seeds(test, "item_key").select("item_key", F.col("s.h").alias("h"), F.col("s.p").alias("q")), "h")
@@ -199,18 +219,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     return _verified(lined)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_items: bool = False) -> DataFrame:
     """One row per document and benchmark item that overlap, with the longest overlap."""
-    found = overlaps(docs, benchmark, id_col, text_col)
+    found = overlaps(docs, benchmark, id_col, text_col, short_items=short_items)
     best = F.max(F.struct("n_equal", "n_words", (-F.col("start_word")).alias("first"), "item_words"))
     return (found.groupBy("doc_id", "item_id").agg(best.alias("b"))
             .select(F.col("doc_id").alias(id_col), "item_id", F.col("b.n_equal").alias("n_equal"), F.col("b.n_words").alias("n_words"),
                     (-F.col("b.first")).alias("start_word"), F.col("b.item_words").alias("item_words")))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_items: bool = False) -> DataFrame:
     """``docs`` without the documents that overlap a benchmark item."""
-    bad = overlaps(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key")).distinct()
+    bad = overlaps(docs, benchmark, id_col, text_col, short_items=short_items).select(F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key")).distinct()
     bad = materialize(bad, "decontam-found")
     keyed = docs.withColumn("__key", F.xxhash64(text_col))
     return keyed.join(bad, F.col(id_col).eqNullSafe(F.col("__bad_id")) & (F.col("__key") == F.col("__bad_key")), "left_anti").drop("__key")

@@ -69,3 +69,24 @@ def test_empty_tables(spark):
     assert decontam.contaminated(frame.limit(0), bench).count() == 0
     assert decontam.contaminated(frame, bench.limit(0)).count() == 0
     assert decontam.clean(frame, bench.limit(0)).count() == frame.count()
+
+
+def test_short_and_unspaced_items_match_exactly(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from basketry.llm import queries
+
+    items = [(1, "What is the capital of France?"), (2, "日本の首都はどこですか"), (3, "东京在哪里"), (4, "..."), (5, "Paris"), (6, None)]
+    docs = [(10, "Quiz: what is THE capital of France, then?"), (11, "what is the main capital of France"), (12, "昔、日本の首都はどこですかと聞かれた"),
+            (13, "日本の首都はここですか"), (14, "请问东京在哪里呢"), (15, "东京在那里"), (16, "in Paris, in paris"), (17, None), (18, "France is the capital of what"),
+            (None, "paris"), (19, "capital of France"), (20, "日本の都はここでした")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(10, 1), (12, 2), (13, 2), (14, 3), (16, 5), (None, 5)}
+    for most in (decontam.MAX_FILTER, 2):
+        monkeypatch.setattr(decontam, "MAX_FILTER", most)
+        got = queries.op2_decontamination(spark, str(tmp_path)).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in got} == want
+        assert {r["item_id"]: (r["n_equal"], r["n_words"], r["start_word"]) for r in got if r["doc_id"] in (10, 12, 14, 16)} == {
+            1: (6, 6, 1), 2: (11, 11, 1), 3: (5, 5, 2), 5: (1, 1, 1)}
+    kept = corpus_pipeline.drop_contaminated(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    assert {r["doc_id"] for r in kept} == {11, 15, 17, 18, 19, 20}
