@@ -126,15 +126,51 @@ def _cut(kind: str, text: Column) -> tuple[Column, Column]:
             F.when(some, F.split(text, PATTERNS[kind], -1)).otherwise(none))
 
 
+def _with_spans(docs: DataFrame, text: Column, name: str, *own: Column | str) -> DataFrame:
+    """``own`` columns of ``docs`` and the spans of ``text``."""
+    cut = {k: _cut(k, text) for k in KINDS}
+    parts = docs.select(*own, *[c.alias(f"__pii_{k}_{i}") for k in KINDS for i, c in enumerate(cut[k])])
+    lists = [_span_list(k, F.col(f"__pii_{k}_0"), F.col(f"__pii_{k}_1")) for k in KINDS]
+    return parts.withColumn(name, F.concat(*lists)).drop(*[f"__pii_{k}_{i}" for k in KINDS for i in (0, 1)])
+
+
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, spans``: all spans of every row, by kind as in ``KINDS`` and
     then by start (code points, end exclusive), with value and score."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    cut = {k: _cut(k, text) for k in KINDS}
-    parts = docs.select(F.col(id_col).alias("id"),
-                        *[c.alias(f"{k}_{i}") for k in KINDS for i, c in enumerate(cut[k])])
-    lists = [_span_list(k, F.col(f"{k}_0"), F.col(f"{k}_1")) for k in KINDS]
-    return parts.select(F.col("id").alias(id_col), F.concat(*lists).alias("spans"))
+    return _with_spans(docs, F.coalesce(F.col(text_col), F.lit("")), "spans", F.col(id_col).alias("id")).select(F.col("id").alias(id_col), "spans")
+
+
+def _merged(spans: Column) -> Column:
+    """Sorted spans with the overlapping ones joined; a joined span is of the kind of its longest member."""
+    def add(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        size = s["end"] - s["start"]
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"),
+                          F.when(size > last["size"], s["kind"]).otherwise(last["kind"]).alias("kind"), F.greatest(last["size"], size).alias("size"))
+        fresh = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), size.alias("size"))
+        return (F.when((F.size(acc) > 0) & (s["start"] < F.get(acc, F.size(acc) - 1)["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined)))
+                .otherwise(F.concat(acc, F.array(fresh))))
+
+    return F.aggregate(spans, F.array().cast("array<struct<start:int,end:int,kind:string,size:int>>"), add)
+
+
+def _cut_once(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with all spans masked at once, for texts in which some overlap."""
+    found, sorted_ = F.col("__pii_spans"), F.col("__pii_sorted")
+    out = _with_spans(docs, F.coalesce(F.col(text_col), F.lit("")), "__pii_spans", *docs.columns)
+    place = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    out = out.withColumn("__pii_sorted", F.when(F.size(found) > 1, F.array_sort(place)))
+    overlap = F.exists(F.sequence(F.lit(1), F.size(sorted_) - 1), lambda i: F.get(sorted_, i)["start"] < F.get(sorted_, i - 1)["end"])
+    out = out.withColumn("__pii_merged", F.when(sorted_.isNotNull() & overlap, _merged(sorted_)))
+    text, merged = F.col(text_col), F.col("__pii_merged")
+
+    def part(m: Column, i: Column) -> Column:
+        since = F.coalesce(F.get(merged, i - 1)["end"], F.lit(0))
+        return F.concat(F.substring(text, since + 1, m["start"] - since), F.lit("["), F.upper(m["kind"]), F.lit("]"))
+
+    rest = F.substring(text, F.element_at(merged, -1)["end"] + 1, F.length(text))
+    masked = F.concat(F.array_join(F.transform(merged, part), ""), rest)
+    return out.withColumn(text_col, F.when(merged.isNotNull(), masked).otherwise(text)).select(docs.columns)
 
 
 def _masking(kind: str, pieces: Column):
@@ -149,10 +185,11 @@ def _masking(kind: str, pieces: Column):
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with every accepted span replaced by its kind in brackets, one
-    kind after the other; a null text stays null. Other columns stay as they
-    are."""
-    out = docs
+    """``docs`` with every accepted span replaced by its kind in brackets;
+    overlapping spans are replaced as one. What becomes a span only by that is
+    replaced too, one kind after the other. A null text stays null. Other
+    columns stay as they are."""
+    out = _cut_once(docs, text_col)
     for kind in KINDS:
         matches, pieces = "__pii_matches", "__pii_pieces"
         m, p = _cut(kind, F.coalesce(F.col(text_col), F.lit("")))

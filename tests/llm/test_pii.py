@@ -48,6 +48,23 @@ def test_redaction_keeps_columns_and_masks(spark):
     assert set(again.values()) == {0}
 
 
+def test_overlapping_spans_are_masked_whole(spark):
+    want = {
+        "call +33.1.42.68.53.00 now": "call [PHONE] now",
+        "é😀 +33.1.42.68.53.00, a@b.com, 10.0.0.1": "é😀 [PHONE], [EMAIL], [IP]",
+        "a@b.com +33.1.42.68.53.00.x@y.org +49.30.12.34.567 z": "[EMAIL] [EMAIL] [PHONE] z",
+        "user 1.2.3.4@host.org ok": "user [EMAIL] ok",
+        "+1 (017) 555-7713 (4111111111111111)": "[PHONE] ([CARD])",
+        "10.0.0.1 10.0.0.2": "[IP] [IP]",
+    }
+    got = {r["doc_id"]: r["text"] for r in pii.redact(_docs(spark, list(want))).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
+    for i, t in enumerate(want):
+        inside = {at for _, a, b in base_spans(t) for at in range(a, b)}
+        outside = "".join(c for at, c in enumerate(t) if at not in inside)
+        assert sum(c.isdigit() for c in got[i]) <= sum(c.isdigit() for c in outside)
+
+
 def test_repeated_rows_and_empty_table(spark):
     assert pii.digest(pii.find_spans(_docs(spark, ["a@b.co"] * 3).withColumnRenamed("score", "n_email"))).count() == 3
     assert pii.digest(pii.find_spans(_docs(spark, TEXTS).limit(0))).count() == 0
