@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketry.llm import chat, decontam, html_text, mixing, pii, simhash, token_count, topk, toxicity, url_filter
+from basketry.llm import chat, decontam, html_text, lexical, line_dedup, mixing, pii, simhash, spelling, token_count, topk, toxicity, url_filter
 
 #: The vocabulary file of the token counts, as named by the tokenizer package.
 VOCABULARY = "byte_bpe_50k.json"
@@ -63,10 +63,25 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(_table(spark, sf_dir, "conversations"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return lexical.search(lexical.build_index(docs), docs, _table(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_pii, op2_decontamination, op3_simhash, op4_toxicity, op5_token_counts, op6_html_text,
-                                    op7_mixing, op8_url_filter, op9_top_k, op10_chat)}
+                                    op7_mixing, op8_url_filter, op9_top_k, op10_chat, op11_lexical_search, op12_line_dedup, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pii": pii.oracle_sql(), "op9_top_k": topk.ORACLE_SQL, "op10_chat": chat.ORACLE_SQL}
+    return {"op1_pii": pii.oracle_sql(), "op9_top_k": topk.ORACLE_SQL, "op10_chat": chat.ORACLE_SQL,
+            "op11_lexical_search": lexical.ORACLE_SQL, "op12_line_dedup": line_dedup.ORACLE_SQL}
