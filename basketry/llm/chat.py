@@ -9,9 +9,10 @@ maximal conversations are then rendered.
 
 Only hashes travel until the survivors are known: prefix hashes are made
 distinct before the anti-join, so a first turn that a third of all
-conversations share is one row there. Texts are shuffled once, for survivors.
-A conversation's own turns meet in one task, as its rendered text is one
-value.
+conversations share is one row there. A prefix's hash is a running sum over
+the conversation's turns, a window of narrow rows that spills to disk; no
+value grows with the turns. Texts are shuffled once, for survivors. Only the
+rendering puts a conversation into one value, which must fit one task.
 
 Edge cases: turns are ordered by ``turn`` (null first), then by hash; exact
 repeats of a row count once; a null role reads ``unknown`` and a null text is
@@ -23,7 +24,7 @@ text cannot forge a turn.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from basketry.session import materialize
 
@@ -35,26 +36,22 @@ def _turns(logs: DataFrame, conv_col: str, turn_col: str, role_col: str, text_co
             .withColumn("hash", F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")), 256)))
 
 
-def _rolling(hashes: Column) -> Column:
-    """The hash of every turn-prefix, shortest first."""
-    zero = F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("all"))
-
-    def add(acc: Column, h: Column) -> Column:
-        rolled = F.sha2(F.concat(acc["last"], h), 256)
-        return F.struct(rolled.alias("last"), F.concat(acc["all"], F.array(rolled)).alias("all"))
-
-    return F.aggregate(hashes, zero, add)["all"]
+def _prefixes(turns: DataFrame) -> DataFrame:
+    """``conv, turn_no, a, b, last``: a row for every turn-prefix. Its hash
+    (``a``, ``b``) is a running sum of the turns' hashes weighed by position:
+    each turn is hashed twice together with its number."""
+    own = Window.partitionBy("conv").orderBy("turn", "hash")
+    rows = turns.select("conv", "turn", "hash").distinct().withColumn("turn_no", F.row_number().over(own))
+    rolled = {n: F.sum(F.xxhash64(F.lit(n), "turn_no", "hash").cast("decimal(20,0)")).over(own.rowsBetween(Window.unboundedPreceding, 0)) for n in ("a", "b")}
+    return rows.withColumns(rolled | {"last": F.lead("turn_no").over(own).isNull()}).select("conv", "turn_no", "a", "b", "last")
 
 
 def maximal(turns: DataFrame) -> DataFrame:
     """``conv, n_turns, n_copies`` of the conversations that stay."""
-    ordered = F.sort_array(F.collect_set(F.struct("turn", "hash")))
-    logs = turns.groupBy("conv").agg(F.transform(ordered, lambda t: t["hash"]).alias("hashes"))
-    logs = materialize(logs.select("conv", F.size("hashes").alias("n_turns"), _rolling(F.col("hashes")).alias("prefixes")), "chat-prefixes")
-    distinct = logs.groupBy(F.element_at("prefixes", -1).alias("full")).agg(
-        F.min("conv").alias("conv"), F.first("n_turns").alias("n_turns"), F.count(F.lit(1)).alias("n_copies"))
-    proper = logs.where("n_turns > 1").select(F.explode(F.expr("slice(prefixes, 1, n_turns - 1)")).alias("full")).distinct()
-    return distinct.join(proper, "full", "left_anti").select("conv", "n_turns", "n_copies")
+    rows, prefix = materialize(_prefixes(turns), "chat-prefixes"), ["turn_no", "a", "b"]
+    distinct = rows.where("last").groupBy(*prefix).agg(F.min("conv").alias("conv"), F.count(F.lit(1)).alias("n_copies"))
+    proper = rows.where("NOT last").select(*prefix).distinct()
+    return distinct.join(proper, prefix, "left_anti").select("conv", F.col("turn_no").alias("n_turns"), "n_copies")
 
 
 def render(role: Column, text: Column) -> Column:

@@ -7,23 +7,28 @@ word under a gap does not change it. The four masks together hit every
 window of 13 words with up to two substitutions, and every one of 8 words
 with one (no qualifying window is missed).
 
-Items under 8 words match exactly, as a run of the document's words: with
-``short_items`` each emits one seed, a hash of all its words, and documents
-the seeds of the lengths that occur. One word can be an item, and then every
+Items under 8 words match exactly, as a run of the document's words: each
+emits one seed, a hash of all its words, and documents the seeds of the
+lengths that occur (``short_items=False`` leaves such items out). One word can be an item, and then every
 document that holds it overlaps.
 
 Test and training seeds are joined by hash. Each hit fixes how the two texts
 line up; along that line the words around the hit are compared, and an
 overlap counts if some window of 13 words has at least 11 equal (items of 8
-to 12 words: all but one, over the whole item).
+to 12 words: all but one, over the whole item). An overlap is a longest run
+of such windows that overlap or adjoin; each pair reports the one with the
+most equal words.
 
 Documents emit only the seeds that a filter of the benchmark's seeds lets
 through, with the words around them. The filter is built only if the
 benchmark has at most ``MAX_FILTER`` seeds; beyond that all seeds go into the
-join, in pieces of bounded length.
+join. Either way a document's hits go out in pieces of bounded length, with
+the words that any window around them can reach, and what the pieces find on
+one line is put together afterwards: results are the same for pieces of any
+length, with or without the filter.
 
 Edge cases: a null text counts as empty; benchmark items without a word
-never match, and those under 8 words only with ``short_items``; repeated rows of either table collapse to
+never match; repeated rows of either table collapse to
 one result row per (document id, item id); rows with a null id take part and
 give a null id; empty tables give an empty result, or all documents kept;
 further columns are not read and pass through ``clean``. Texts of any length
@@ -38,7 +43,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from basketry.llm.words import HashFilter, odd_multipliers, scramble, slices, word_hashes
 from basketry.session import materialize
@@ -84,7 +89,7 @@ def _seed_list(hashes: np.ndarray, at: np.ndarray) -> list[dict]:
     return [{"h": int(h), "p": int(p)} for h, p in zip(hashes.view(np.int64), at)]
 
 
-def items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", short_items: bool = False) -> DataFrame:
+def items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", short_items: bool = True) -> DataFrame:
     """The benchmark's items with their word hashes and seeds."""
     rows = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
 
@@ -166,23 +171,32 @@ def pieces(docs: DataFrame, known: HashFilter | None, id_col: str = "doc_id", te
     return materialize(rows.mapInArrow(work, PIECE.format(id=rows.schema[0].dataType.simpleString())), "decontam-pieces")
 
 
-def _best_overlap(words: np.ndarray, item: np.ndarray, at: int) -> tuple[int, int, int] | None:
+def _runs(words: np.ndarray, item: np.ndarray, at: int) -> list[tuple[int, int, np.ndarray]]:
     """Compare along a line (``at``: document word under the item's first).
-    First word, words and equal words of the stretch from the first
-    qualifying window to the last; None if there is none."""
+    First word, end and unequal words of every run of qualifying windows."""
     low, high = max(0, -at), min(len(item), len(words) - at)
     width = min(WINDOW, len(item))
     if high - low < width:
-        return None
-    equal = np.concatenate([[0], np.cumsum(item[low:high] == words[low + at:high + at])])
+        return []
+    same = item[low:high] == words[low + at:high + at]
+    equal = np.concatenate([[0], np.cumsum(same)])
     good = np.flatnonzero(equal[width:] - equal[:-width] >= (WINDOW_EQUAL if width == WINDOW else width - 1 if width >= SHORTEST else width))
     if not len(good):
-        return None
-    a, b = int(good[0]), int(good[-1]) + width
-    return low + at + a, b - a, int(equal[b] - equal[a])
+        return []
+    cut = np.flatnonzero(np.diff(good) > width) + 1
+    unequal = np.flatnonzero(~same)
+    out = []
+    for run in np.split(good, cut):
+        a, b = int(run[0]), int(run[-1]) + width
+        out.append((low + at + a, low + at + b, unequal[(unequal >= a) & (unequal < b)] + low + at))
+    return out
+
+
+LINE = ["doc_id", "text_key", "item_id", "item_key", "line"]
 
 
 def _verified(lined: DataFrame) -> DataFrame:
+    """The runs of qualifying windows in each piece, counted from the document's first word."""
     ids = dict(lined.dtypes)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,23 +205,35 @@ def _verified(lined: DataFrame) -> DataFrame:
             found, pick = [], []
             for k in range(batch.num_rows):
                 words, item = (np.asarray(cols[n][k].values) for n in ("words", "item_words"))
-                best = _best_overlap(words, item, cols["at"][k].as_py())
-                if best:
+                at, start = cols["at"][k].as_py(), cols["start"][k].as_py()
+                for a, b, unequal in _runs(words, item, at):
                     pick.append(k)
-                    found.append((best[1], best[2], cols["start"][k].as_py() + best[0], len(item)))
+                    found.append((start + at, start + a, start + b, len(item), unequal + start))
             rows = pa.array(pick, pa.int64())
             numbers = [pa.array([f[j] for f in found], pa.int32()) for j in range(4)]
-            yield pa.RecordBatch.from_arrays([cols[n].take(rows) for n in ("doc_id", "text_key", "item_id")] + numbers,
-                                             ["doc_id", "text_key", "item_id", "n_words", "n_equal", "start_word", "item_words"])
+            yield pa.RecordBatch.from_arrays([cols[n].take(rows) for n in LINE[:4]] + numbers + [pa.array([f[4] for f in found], pa.list_(pa.int32()))],
+                                             [*LINE, "first", "end", "item_words", "unequal"])
+
+    rows = lined.select("doc_id", "text_key", "item_id", "item_key", "start", "words", "item_words", "at")
+    return rows.mapInArrow(work, f"doc_id {ids['doc_id']}, text_key bigint, item_id {ids['item_id']}, item_key bigint, line int, first int, end int, item_words int, unequal array<int>")
+
 
-    rows = lined.select("doc_id", "text_key", "item_id", "start", "words", "item_words", "at")
-    return rows.mapInArrow(work, f"doc_id {ids['doc_id']}, text_key bigint, item_id {ids['item_id']}, n_words int, n_equal int, start_word int, item_words int")
+def _joined(runs: DataFrame) -> DataFrame:
+    """Runs of one line that overlap or adjoin, as one."""
+    own = Window.partitionBy(*LINE, "item_words").orderBy("first", "end")
+    before = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    marked = runs.distinct().withColumn("fresh", F.when(F.col("first") <= before, 0).otherwise(1))
+    grouped = marked.withColumn("run", F.sum("fresh").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    return (grouped.groupBy(*LINE, "item_words", "run")
+            .agg(F.min("first").alias("start_word"), F.max("end").alias("end"), F.size(F.array_distinct(F.flatten(F.collect_list("unequal")))).alias("n_unequal"))
+            .withColumn("n_words", F.col("end") - F.col("start_word")).withColumn("n_equal", F.col("n_words") - F.col("n_unequal"))
+            .select("doc_id", "text_key", "item_id", "n_words", "n_equal", "start_word", "item_words"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             item_id_col: str = "item_id", item_text_col: str = "text", short_items: bool = False) -> DataFrame:
+             item_id_col: str = "item_id", item_text_col: str = "text", short_items: bool = True) -> DataFrame:
     """``doc_id, text_key, item_id, n_words, n_equal, start_word, item_words``
-    for every line-up with a qualifying overlap."""
+    for every run of qualifying windows on every line-up."""
     test = items(benchmark, item_id_col, item_text_col, short_items)
     train = pieces(docs, _seed_filter(test), id_col, text_col, _short_lengths(test))
     seeds = lambda t, *own: t.select(*own, F.explode("seeds").alias("s"))
@@ -216,10 +242,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
              .select("piece", "item_key", (F.col("p") - F.col("q")).alias("at")).distinct())
     lined = (lines.join(train.drop("seeds"), "piece")
              .join(test.select("item_id", "item_key", F.col("words").alias("item_words")), "item_key"))
-    return _verified(lined)
+    return _joined(_verified(lined))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_items: bool = False) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_items: bool = True) -> DataFrame:
     """One row per document and benchmark item that overlap, with the longest overlap."""
     found = overlaps(docs, benchmark, id_col, text_col, short_items=short_items)
     best = F.max(F.struct("n_equal", "n_words", (-F.col("start_word")).alias("first"), "item_words"))
@@ -228,7 +254,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     (-F.col("b.first")).alias("start_word"), F.col("b.item_words").alias("item_words")))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_items: bool = False) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_items: bool = True) -> DataFrame:
     """``docs`` without the documents that overlap a benchmark item."""
     bad = overlaps(docs, benchmark, id_col, text_col, short_items=short_items).select(F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key")).distinct()
     bad = materialize(bad, "decontam-found")

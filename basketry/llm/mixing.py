@@ -105,6 +105,8 @@ def multipliers(sized: DataFrame, per_source: DataFrame) -> DataFrame:
         worst = state.agg(F.max("miss")).first()[0]
         if worst is None or worst <= TOLERANCE:
             break
+    else:
+        raise RuntimeError(f"the dual was not solved in {NEWTON_STEPS} steps; the worst source is off by {worst}")
     return state.select("source_no", F.round("lam", 9).alias("lam"), "mean", "full")
 
 

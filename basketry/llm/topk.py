@@ -8,6 +8,9 @@ distance from each pivot, the greatest of which is
     d(q, x) >= max over pivots p of |d(q, p) - d(x, p)|,
 
 and so an upper bound on the inner product ``(|q|^2 + |x|^2 - d^2) / 2``.
+Distances are doubles, and every gap is lowered by the rounding error of its
+own two distances before the greatest is taken, so that the bound also holds
+beside vectors that are many orders of magnitude longer than the others.
 Each task looks at its candidates in the order of that bound and stops, for
 every query, once the k-th score found is above the next bound; what it has
 not evaluated cannot be among the k best. Scores themselves are exact.
@@ -38,7 +41,7 @@ PIVOTS = 16
 PIVOT_SAMPLE = 1024
 QUERY_BLOCK = 2048
 #: Candidates bounded at a time by a task.
-CANDIDATES = 2048
+CANDIDATES = 1024
 FIRST_LOOK = 64
 
 TABLE = "vec_id bigint, dims int, vec binary, dist binary"
@@ -77,8 +80,19 @@ def choose_pivots(rows: DataFrame) -> dict[int, np.ndarray]:
 
 def _distances(v: np.ndarray, pivots: np.ndarray | None) -> np.ndarray:
     if pivots is None:  # a length that the sample does not hold: no bound
-        return np.zeros((len(v), 0), np.float32)
-    return np.sqrt(((v[:, None, :].astype(np.float64) - pivots[None]) ** 2).sum(2)).astype(np.float32)
+        return np.zeros((len(v), 0))
+    return np.sqrt(((v[:, None, :].astype(np.float64) - pivots[None]) ** 2).sum(2))
+
+
+def _rounding(dims: int) -> float:
+    """A bound on the relative rounding error of a sum of ``dims`` squares."""
+    return (dims + 8) * 2.0 ** -52
+
+
+def _error(dist: np.ndarray, norm: np.ndarray, dims: int) -> np.ndarray:
+    """How far each distance may be off: components lose bits of their own
+    size and of the pivot's, which is at most the distance and the norm."""
+    return 2 * _rounding(dims) * (dist + np.sqrt(norm)[:, None])
 
 
 def pivot_table(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
@@ -121,6 +135,7 @@ class Block:
     def __init__(self, ids: np.ndarray, numbers: np.ndarray, vecs: np.ndarray, dist: np.ndarray, k: int):
         self.ids, self.numbers, self.vecs, self.dist, self.k = ids, numbers, vecs, dist, k
         self.norm = (vecs.astype(np.float64) ** 2).sum(1)
+        self.error = _error(dist, self.norm, vecs.shape[1])
         self.top = max(1.0, float(np.abs(vecs).max(initial=0)))
         self.scores = [np.zeros(0, np.int64) for _ in ids]
         self.found = [np.zeros(0, np.int64) for _ in ids]
@@ -129,12 +144,15 @@ class Block:
         """Bring some candidates in."""
         norm = (vecs.astype(np.float64) ** 2).sum(1)
         exact = self.top * max(1.0, float(np.abs(vecs).max(initial=0))) * max(1, vecs.shape[1]) < 2.0 ** 53
-        gap = np.zeros((len(self.ids), len(ids)), np.float32)
+        error = _error(dist, norm, vecs.shape[1])
+        gap = np.zeros((len(self.ids), len(ids)))
         for p in range(min(dist.shape[1], self.dist.shape[1])):
-            np.maximum(gap, np.abs(self.dist[:, p, None] - dist[None, :, p]), out=gap)
+            own = np.abs(self.dist[:, p, None] - dist[None, :, p])
+            own -= self.error[:, p, None] + error[None, :, p]
+            np.maximum(gap, own, out=gap)
         both = self.norm[:, None] + norm[None]
-        # The slack covers the rounding of the distances.
-        bound = (both - np.square(gap.astype(np.float64))) / 2 + 1 + 4e-6 * both
+        # The slack covers the rounding of the norms and of this line.
+        bound = (both - np.square(gap)) / 2 + 1 + 8 * _rounding(vecs.shape[1]) * both
         bound[self.ids[:, None] == ids[None]] = -np.inf
         for i in range(len(self.ids)):
             full = len(self.scores[i]) == self.k
@@ -167,7 +185,7 @@ def _search(table: DataFrame, queries: list, k: int) -> DataFrame:
             own = [(n, q) for n, q in enumerate(queries) if q["dims"] == dims]
             blocks[dims] = Block(np.array([q["vec_id"] for _, q in own], np.int64), np.array([n for n, _ in own]),
                                  _matrix([bytes(q["vec"]) for _, q in own], dims, np.int64),
-                                 _matrix([bytes(q["dist"]) for _, q in own], 0, np.float32), k)
+                                 _matrix([bytes(q["dist"]) for _, q in own], 0, np.float64), k)
         for batch in batches:
             dims_of = batch.column(1).to_numpy()
             for dims, block in blocks.items():
@@ -175,7 +193,7 @@ def _search(table: DataFrame, queries: list, k: int) -> DataFrame:
                 for lo in range(0, len(at), CANDIDATES):
                     part = batch.take(pa.array(at[lo:lo + CANDIDATES]))
                     block.look(part.column(0).to_numpy(), _matrix(part.column(2).to_pylist(), dims, np.int64),
-                               _matrix(part.column(3).to_pylist(), 0, np.float32))
+                               _matrix(part.column(3).to_pylist(), 0, np.float64))
         for block in blocks.values():
             yield block.rows()
 
@@ -189,8 +207,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     rows = scaled(vectors, id_col, vec_col)
     table = pivot_table(rows, choose_pivots(rows))
     queries = table.where(is_query).distinct()
-    n = queries.count()
-    blocks = max(1, -(-n * 5 // (QUERY_BLOCK * 4)))  # filled to four fifths on average
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    fullest = lambda: queries.groupBy(F.pmod(F.xxhash64("vec_id", "vec"), F.lit(blocks))).count().agg(F.max("count")).first()[0]
+    while blocks > 1 and fullest() > QUERY_BLOCK:
+        blocks *= 2
     if blocks > 1:
         queries = materialize(queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(blocks))), "topk-queries")
     parts = []

@@ -31,30 +31,37 @@ BLOCK_FROM = 0.5
 #: (verdict, host, path prefix) of the query's rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-#: The labelled table: hosts of both kinds, each with the same paths, so that
-#: the hosts' words decide and the shape of a path does not.
+#: The labelled table: kinds of sites that filter lists name, and kinds of
+#: sites that directories list, in general words and with the paths that such
+#: sites have. Each host has two prefixes and the paths of its own kind in turn.
 BLOCKED_HOSTS = """
-casino-bonus.example best-casino.example online-casino.example win-slots.example slots-win.example big-win.example
-poker-bets.example sports-bets.example free-bet.example betting-odds.example jackpot-lottery.example
-spam-mail.example spam-links.example spammer.example link-farm.example content-farm.example seo-farm.example
-ads-server.example ads-network.example clicks-ads.example track-pixel.example click-track.example tracker-ads.example popup-banner.example
-xxx-videos.example adult-cams.example porn-tube.example hot-singles.example
-cheap-viagra.example cheap-meds.example pills-shop.example buy-pills.example diet-pills.example
-crack-warez.example torrent-warez.example keygen-download.example malware-setup.example phishing-login.example verify-account.example
-payday-loan.example fast-cash.example crypto-profit.example free-prize.example
+royalcasino luckyslots pokerroom roulette-live blackjack24 sportsbet bingo-hall jackpotcity scratchcards betexchange
+adserver bannerads popunder clicktracker pixeltrack adnetwork affiliate-ads retarget-ads trafficexchange linkexchange
+freegiveaway prizewinner surveyreward giftcard-claim sweepstake cashprize
+pharmacy-discount weightloss-pills generic-meds herbal-cure testosterone-boost
+payday-advance instantloan creditrepair forex-signals binaryoptions bitcoin-doubler getrichquick
+warez-forum crackserial keygens torrentz-mirror cracked-apps freemovies-stream
+account-verify secure-login-update phish-bank password-reset-alert wallet-unlock
+adultchat webcamgirls escortservice xxxvideos hookup-tonight
+seo-backlinks articlespinner bulk-mailer emailblast doorwaypages
 """.split()
 ALLOWED_HOSTS = """
-news.example daily-press.example history.example wiki.example physics.example library.example university.example journal.example
-weather.example kitchen.example bread.example museum.example garden.example travel.example hotel.example madrid.example forum.example
-school.example maths.example books.example novel.example music.example album.example therapy.example health.example sleep.example
-science.example space.example code.example project.example thinking.example nation.example station.example tradition.example
-mother.example father.example brother.example theatre.example threshold.example anthem.example rhythm.example city.example council.example
-court.example bank.example football.example river.example mountain.example children.example thread.example northern.example southern.example
-weather-report.example open-letters.example old-town.example the-times.example green-house.example local-food.example night-sky.example
-question.example nonstick.example thousand.example there.example then.example other.example earth.example tithe.example
+dailynews eveningpost morningherald localgazette weatherservice
+cityuniversity highschool primaryschool openlibrary nationalmuseum artgallery historyarchive
+physicsjournal biologyreview medicalresearch astronomyclub mathsociety chemistry-lab
+cookingrecipes gardeningtips birdwatching hikingtrails cyclingclub chessleague footballclub
+opensource-project developerdocs linuxguide pythontutorial databasehandbook
+townhall parliament ministry-health publictransport railwaytimetable
+theatre-company symphonyorchestra bookreviews poetry-magazine filmfestival
+familydoctor hospital-trust charity-foundation redcross parish-church
+architecture-blog travelogue photography-notes woodworking astronomy-blog
 """.split()
-PREFIXES = ("", "www.", "m.")
-PATHS = ("/en/12034", "/fr/771/", "/de/40551.html")
+PREFIXES = ("www.", "")
+BLOCKED_PATHS = ("/play/free-spins", "/claim/now.php", "/click?to=offer", "/track/pixel.gif", "/bonus/signup", "/go/aff/8812", "/verify/account.php",
+                 "/download/crack.exe", "/win/iphone", "/cheap/buy-now", "/ads/popup.js", "/hot/live-cams", "/deal/100-percent-off")
+ALLOWED_PATHS = ("/about", "/news/2019/05/report", "/article/1204", "/docs/guide/chapter-3.html", "/wiki/History", "/research/papers/2017", "/contact",
+                 "/recipes/bread", "/events/calendar", "/library/catalogue", "/blog/a-walk", "/courses/introduction", "/archive/1998/letters")
+ENDINGS = (".example", ".test")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -93,8 +100,12 @@ def with_ngrams(rows: DataFrame) -> DataFrame:
 
 
 def default_labels(spark: SparkSession) -> DataFrame:
-    rows = [(f"https://{prefix}{host}{path}", label) for label, hosts in ((1.0, BLOCKED_HOSTS), (0.0, ALLOWED_HOSTS))
-            for host in hosts for prefix in PREFIXES for path in PATHS]
+    rows = []
+    for label, hosts, paths in ((1.0, BLOCKED_HOSTS, BLOCKED_PATHS), (0.0, ALLOWED_HOSTS, ALLOWED_PATHS)):
+        for i, host in enumerate(hosts):
+            for j in range(6):  # the site's front page, and five of the paths in turn
+                path = "/" if j == 0 else paths[(5 * i + j) % len(paths)]
+                rows.append((f"https://{PREFIXES[j % 2]}{host}{ENDINGS[i % 2]}{path}", label))
     return spark.createDataFrame(rows, "url string, label double")
 
 

@@ -76,20 +76,35 @@ def words_of(text: str | None) -> list[str]:
     return re.findall(r"\w+", (text or "").lower())
 
 
-def overlap(text: str | None, item: str | None) -> int:
-    """Equal words of the best qualifying overlap on one line, 0 if there is none."""
+def overlap_runs(text: str | None, item: str | None) -> list[tuple[int, int, int]]:
+    """Equal words, words and first word of every longest run of qualifying
+    windows, on every line."""
     a, b = words_of(text), words_of(item)
-    if len(b) < 8:
-        return 0
     width = min(13, len(b))
-    need = 11 if width == 13 else width - 1
-    best = 0
-    for at in range(-len(b), len(a)):
+    need = 11 if width == 13 else width - 1 if width >= 8 else width
+    out = []
+    for at in range(-len(b), len(a)) if b else ():
         lo, hi = max(0, -at), min(len(b), len(a) - at)
         same = [a[at + j] == b[j] for j in range(lo, hi)]
-        if any(sum(same[i:i + width]) >= need for i in range(len(same) - width + 1)):
-            best = max(best, sum(same))
-    return best
+        runs = []
+        for i in range(len(same) - width + 1):
+            if sum(same[i:i + width]) >= need:
+                if runs and i <= runs[-1][1]:
+                    runs[-1][1] = i + width
+                else:
+                    runs.append([i, i + width])
+        out += [(sum(same[i:j]), j - i, at + lo + i) for i, j in runs]
+    return out
+
+
+def overlap(text: str | None, item: str | None) -> int:
+    """Equal words of the best qualifying overlap, 0 if there is none."""
+    return max((r[0] for r in overlap_runs(text, item)), default=0)
+
+
+def best_overlap(text: str | None, item: str | None) -> tuple[int, int, int] | None:
+    """Equal words, words and first word of the best overlap."""
+    return max(overlap_runs(text, item), key=lambda r: (r[0], r[1], -r[2]), default=None)
 
 
 def mix_targets(sizes: dict, weights=(3, 1, 2), share=1.5, most=2) -> dict:

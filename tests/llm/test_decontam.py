@@ -1,9 +1,11 @@
 import itertools
 import random
 
+import pytest
+
 from basketry.llm import decontam
 
-from .brute import overlap
+from .brute import best_overlap, overlap
 
 ITEMS = "item_id long, text string, words string"
 DOCS = "doc_id long, text string, item_id int, words int"
@@ -56,12 +58,47 @@ def test_matches_brute_force(spark):
     assert sorted((r["doc_id"] or -1, r["text"] or "") for r in kept.collect()) == sorted((d or -1, t or "") for d, t in docs if (d, t) not in bad)
 
 
-def test_large_benchmarks_join_without_a_filter(spark, monkeypatch):
-    bench, frame, items, docs = _tables(spark)
-    monkeypatch.setattr(decontam, "MAX_FILTER", 10)
-    few = frame.where("doc_id IS NULL OR doc_id < 520")
-    got = decontam.contaminated(few, bench).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in got} == _want(items, [d for d in docs if d[0] is None or d[0] < 520])
+def _best(items, docs):
+    out = {}
+    for d, t in docs:
+        for i, x in items:
+            best = best_overlap(t, x)
+            if best and ((d, i) not in out or (best[0], best[1], -best[2]) > (out[d, i][0], out[d, i][1], -out[d, i][2])):
+                out[d, i] = best
+    return out
+
+
+@pytest.mark.parametrize("filtered", [True, False])
+@pytest.mark.parametrize("hits", [decontam.PIECE_HITS, 7])
+def test_overlaps_are_whole(spark, monkeypatch, filtered, hits):
+    """Sizes and starts of overlaps of any length, in pieces of any length,
+    with the filter and without."""
+    rnd = random.Random(12)
+    word = lambda: f"w{rnd.randrange(4000)}"
+    items, docs = [], []
+    for i, n in enumerate((1, 2, 7, 8, 12, 13, 40, 900, 2500)):
+        w = [word() for _ in range(n)]
+        items.append((i, " ".join(w)))
+        docs.append((10 * i, " ".join([word() for _ in range(30)] + w + [word() for _ in range(30)])))
+        c = list(w)
+        for at in range(6, n, 20):
+            c[at] = "changed"
+        docs.append((10 * i + 1, " ".join(c)))
+        c = list(w)
+        c[n // 3:n // 3 + n // 8] = ["gap"] * (n // 8)  # two runs on one line
+        docs.append((10 * i + 2, " ".join(["x"] * 5 + c)))
+        docs.append((10 * i + 3, " ".join(w[: n // 2] + ["more"] + w[n // 2:] + w[n // 4:])))
+    items.append((50, "again and " * 12))
+    docs += [(500, "again and " * 30), (None, items[7][1][:3000])]
+    if not filtered:
+        monkeypatch.setattr(decontam, "MAX_FILTER", 0)
+        docs = [d for d in docs if d[0] is None or d[0] not in range(80, 90)]
+    monkeypatch.setattr(decontam, "PIECE_HITS", hits)
+    frame = spark.createDataFrame([(i, t, 1, 2) for i, t in docs], DOCS)
+    got = decontam.contaminated(frame, spark.createDataFrame([(i, t, "x") for i, t in items], ITEMS)).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["n_equal"], r["n_words"], r["start_word"]) for r in got} == _best(items, docs)
+    if filtered:
+        assert {r["n_words"] for r in got} >= {900, 2500, 13, 1}
 
 
 def test_empty_tables(spark):

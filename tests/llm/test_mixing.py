@@ -69,3 +69,9 @@ def test_empty_table(spark):
     docs, _ = _docs(spark, 1, 5)
     assert mixing.mix(docs.limit(0)).count() == 0
     assert mixing.expand(docs.limit(0)).count() == 0
+
+
+def test_an_unsolved_dual_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "NEWTON_STEPS", 1)
+    with pytest.raises(RuntimeError):
+        mixing.mix(_docs(spark)[0]).collect()

@@ -66,3 +66,16 @@ def test_elimination_skips_candidates(monkeypatch):
 def test_empty_table(spark):
     frame = spark.createDataFrame([], SCHEMA)
     assert topk.top_k(frame, F.col("vec_id") % 100 == 0).count() == 0
+
+
+@pytest.mark.parametrize("size", [1e6, 3e6, 1e7, 1e9, 1e12])
+def test_long_finite_vectors_keep_the_bound_sound(spark, size):
+    rnd = random.Random(int(size) % 97)
+    centres = [[rnd.gauss(0, 0.3) for _ in range(8)] for _ in range(12)]
+    rows = [(i, [c + rnd.gauss(0, 0.0008) for c in centres[i % 12]]) for i in range(1, 900)]
+    rows += [(1000 + 50 * i, [size * rnd.gauss(0, 1) for _ in range(8)]) for i in range(3)]
+    rows = [(i * 25, v) for i, v in rows]
+    frame = spark.createDataFrame([(i, v, "s", "d") for i, v in rows], SCHEMA).coalesce(2)
+    got = sorted(map(tuple, topk.top_k(frame, F.col("vec_id") % 100 == 0, 10).collect()))
+    top = (1 << 63) - 1
+    assert got == [(q, r, j, max(-top - 1, min(top, s))) for q, r, j, s in _plain(rows, 10)]
