@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.columns import round_half_even
@@ -32,6 +32,30 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).distinct()
 
 
+def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row per key, the first by ``order`` (null first; then by the
+    other columns, so equal rows apart the result is fixed). The least row is
+    a partial aggregate, so a hot key is one row per task, and no window."""
+    ranked = list(dict.fromkeys([*order, *[c for c in df.columns if c not in keys]]))
+    first = F.min(F.struct(*[F.col(c) for c in ranked if c not in keys])).alias("_first")
+    return df.groupBy(*keys).agg(first).select(*[F.col(c) if c in keys else F.col("_first")[c].alias(c) for c in df.columns])
+
+
+def top_n(df: DataFrame, n: int, by: Sequence[Column | str]) -> DataFrame:
+    """O3: the first ``n`` rows by an order (each task sends ``n`` rows at most)."""
+    return df.orderBy(*by).limit(n)
+
+
+def columns_after(df: DataFrame, name: str) -> list[str]:
+    """The columns that stand after ``name``."""
+    return df.columns[df.columns.index(name) + 1:]
+
+
+def split_series(df: DataFrame, x: str, y: str, role: str = "role") -> DataFrame:
+    """T5: a line per role: ``role, x, y`` in order, rows without a role left out."""
+    return df.where(F.col(role).isNotNull()).select(role, x, y).orderBy(role, x)
+
+
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """A3: counts per value, nulls dropped, most frequent first (ties by value)."""
     return (df.filter(F.col(col).isNotNull()).groupBy(col)
@@ -110,8 +134,8 @@ def return_rate(df: DataFrame, col: str, by_count: bool = True) -> DataFrame:
 def welch_ttest(df: DataFrame, value: str, group: str, a=1, b=0) -> DataFrame:
     """Welch two-sample t statistic and Welch-Satterthwaite degrees of
     freedom of ``value`` between ``group == a`` and ``group == b``. Moments
-    only: one partial aggregate, no rows leave the executors. The p-value
-    is ``2 * (1 - StudentT(df).cdf(|t|))``, see :func:`t_pvalue`."""
+    only: one partial aggregate, no rows leave the executors. ``p`` is the
+    two-sided p-value, computed on the one-row result."""
     v = F.col(value).cast("double")
     ga, gb = F.col(group) == a, F.col(group) == b
     m = df.agg(F.count(F.when(ga, v)).alias("n1"), F.avg(F.when(ga, v)).alias("m1"),
@@ -119,47 +143,51 @@ def welch_ttest(df: DataFrame, value: str, group: str, a=1, b=0) -> DataFrame:
                F.count(F.when(gb, v)).alias("n2"), F.avg(F.when(gb, v)).alias("m2"),
                F.var_samp(F.when(gb, v)).alias("v2"))
     se1, se2 = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
-    return m.select(
+    tested = m.select(
         "n1", "m1", "v1", "n2", "m2", "v2",
         ((F.col("m1") - F.col("m2")) / F.sqrt(se1 + se2)).alias("t"),
         (F.pow(se1 + se2, 2) / (F.pow(se1, 2) / (F.col("n1") - 1) + F.pow(se2, 2) / (F.col("n2") - 1)))
         .alias("dof"))
+    return tested.withColumn("p", t_pvalue(F.col("t"), F.col("dof")))
+
+
+def _log_gamma(x: Column) -> Column:
+    """Stirling's series, eight steps up from ``x``."""
+    y, product = x + 8, x
+    for k in range(1, 8):
+        product = product * (x + k)
+    series = 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5)) - 1 / (1680 * F.pow(y, 7))
+    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + series - F.log(product)
+
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """The continued fraction of the incomplete beta function, from its front;
+    it needs some sqrt(a + b) steps."""
+    def term(k: Column) -> Column:
+        m = F.floor(k / 2)
+        odd = -(a + m) * (a + b + m) / ((a + 2 * m) * (a + 2 * m + 1))
+        even = m * (b - m) / ((a + 2 * m - 1) * (a + 2 * m))
+        return F.when(k == 0, F.lit(1.0)).when(k % 2 == 1, odd * x).otherwise(even * x)
+
+    def step(acc: Column, k: Column) -> Column:
+        d, c = 1 / (1 + term(k) * acc["d"]), 1 + term(k) / acc["c"]
+        return F.struct(c.alias("c"), d.alias("d"), (acc["h"] * c * d).alias("h"))
+
+    start = F.struct(F.lit(1.0).alias("c"), F.lit(0.0).alias("d"), F.lit(1.0).alias("h"))
+    steps = F.transform(F.sequence(F.lit(0), (200 + 5 * F.sqrt(a + b)).cast("int")), lambda k: k.cast("double"))
+    return F.aggregate(steps, start, step, lambda acc: acc["h"] - 1)
 
 
-def t_pvalue(t: float, dof: float) -> float:
+def t_pvalue(t: Column, dof: Column) -> Column:
     """Two-sided p-value of Student's t: the regularised incomplete beta
-    I_x(dof/2, 1/2) at x = dof / (dof + t^2) (Lentz continued fraction).
-    Scalar helper for the one-row t-test result."""
-    import math
-
-    x = dof / (dof + t * t)
-    a, b = dof / 2.0, 0.5
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-
-    def cont_frac(a: float, b: float, x: float) -> float:
-        tiny = 1e-300
-        c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        h = d
-        for m in range(1, 500):
-            for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-                        -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d = 1.0 + num * d
-                d = 1.0 / (d if abs(d) > tiny else tiny)
-                c = 1.0 + num / c
-                c = c if abs(c) > tiny else tiny
-                h *= d * c
-            if abs(d * c - 1.0) < 1e-15:
-                break
-        return h
-
-    log_front = a * math.log(x) + b * math.log(1.0 - x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(log_front) * cont_frac(a, b, x) / a
-    return 1.0 - math.exp(log_front) * cont_frac(b, a, 1.0 - x) / b
+    function I_x(dof / 2, 1/2) at x = dof / (dof + t^2), as a column. Whichever
+    of x and 1 - x converges is expanded."""
+    a, b, x = dof / 2, F.lit(0.5), dof / (dof + t * t)
+    rest = t * t / (dof + t * t)
+    front = F.exp(a * F.log(x) + b * F.log(rest) + _log_gamma(a + b) - _log_gamma(a) - _log_gamma(b))
+    low = front * _beta_fraction(a, b, x) / a
+    high = 1 - front * _beta_fraction(b, a, rest) / b
+    return F.when(t == 0, F.lit(1.0)).when(x < (a + 1) / (a + b + 2), low).otherwise(high)
 
 
 def histogram(df: DataFrame, col: str, width: float | None = None, bins: int | None = None) -> DataFrame:
@@ -172,7 +200,9 @@ def histogram(df: DataFrame, col: str, width: float | None = None, bins: int | N
                   .agg(F.count(F.lit(1)).alias("count"))
                   .withColumn("lower", F.col("bin") * float(width)).orderBy("bin"))
     rng = df.agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"))
-    b = F.least(F.floor((c - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / bins)), F.lit(bins - 1))
+    step = (F.col("_hi") - F.col("_lo")) / bins
+    # A constant column has one bin, the first.
+    b = F.when(step == 0, F.lit(0)).otherwise(F.least(F.floor(F.try_divide(c - F.col("_lo"), step)), F.lit(bins - 1)))
     return (df.filter(c.isNotNull()).crossJoin(F.broadcast(rng))
               .groupBy(b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count")).orderBy("bin"))
 

@@ -38,6 +38,31 @@ def returns(df: DataFrame) -> DataFrame:
     return df.filter(F.col("return").isNotNull() & F.col("volume_change").isNotNull())
 
 
+def date_spine(spans: DataFrame, start: str = "start", end: str = "end", name: str = "dt") -> DataFrame:
+    """Every row of ``spans`` once per day from ``start`` to ``end``, with
+    the day as ``name`` and its 0-based number as ``day_no``; a null or
+    reversed span gives no rows."""
+    keys = [c for c in spans.columns if c not in (start, end)]
+    days = F.when(F.col(start) <= F.col(end), F.sequence(F.col(start), F.col(end), F.expr("interval 1 day")))
+    return spans.select(*keys, F.posexplode(days).alias("day_no", name))
+
+
+def future_days(df: DataFrame, periods: int, sym: str = "symbol", order: str = "dt") -> DataFrame:
+    """The ``periods`` days that follow each symbol's last one."""
+    last = df.groupBy(sym).agg(F.max(order).alias("_last"))
+    return date_spine(last.select(sym, F.date_add("_last", 1).alias("start"), F.date_add("_last", periods).alias("end")))
+
+
+def fill_gaps(df: DataFrame, cols: Sequence[str], sym: str = "symbol", order: str = "dt") -> DataFrame:
+    """Every day from a symbol's first to its last: ``cols`` of days without a
+    bar are carried forward, and ``is_gap`` marks those days."""
+    spans = df.groupBy(sym).agg(F.min(order).alias("start"), F.max(order).alias("end"))
+    joined = date_spine(spans, name=order).join(df.withColumn("_bar", F.lit(True)), [sym, order], "left")
+    w = _w(sym, order).rowsBetween(Window.unboundedPreceding, 0)
+    carried = {c: F.last(c, ignorenulls=True).over(w) for c in cols}
+    return joined.withColumns(carried).withColumn("is_gap", F.col("_bar").isNull()).select(sym, order, "day_no", *cols, "is_gap")
+
+
 def add_target(df: DataFrame, train_start: str, train_end: str) -> DataFrame:
     """Target = return above the median return of the training window,
     per symbol (one-row-per-symbol medians joined back)."""

@@ -127,21 +127,24 @@ def q_state_summary(spark, sf_dir):
 
 
 @register("welch_ttest_price", with_clean("""
-SELECT n1, round(m1, 6) AS m1, round(v1, 4) AS v1, n2, round(m2, 6) AS m2, round(v2, 4) AS v2,
-       round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) AS t,
-       round(pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)), 4) AS dof
+SELECT n1, round(m1, 6) AS m1, round(v1, 4) AS v1, n2, round(m2, 6) AS m2, round(v2, 4) AS v2, round(t, 6) AS t, round(dof, 4) AS dof, round(p, 6) AS p
+FROM w, (SELECT 2 * exp(lgamma(dof / 2 + 0.5) - lgamma(dof / 2) - lgamma(0.5::DOUBLE)) * (edge / 20000 / 3)
+                * sum(CASE WHEN k IN (0, 20000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(sin(edge * k / 20000), dof - 1)) AS p
+         FROM w, (SELECT asin(sqrt(dof / (dof + t * t))) AS edge FROM w), range(0, 20001) g(k) GROUP BY dof, edge)""", """
+w AS (SELECT *, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t,
+       pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS dof
 FROM (SELECT count(*) FILTER (WHERE returned = 1) AS n1,
              avg(CAST(item_price AS DOUBLE)) FILTER (WHERE returned = 1) AS m1,
              var_samp(CAST(item_price AS DOUBLE)) FILTER (WHERE returned = 1) AS v1,
              count(*) FILTER (WHERE returned = 0) AS n2,
              avg(CAST(item_price AS DOUBLE)) FILTER (WHERE returned = 0) AS m2,
-             var_samp(CAST(item_price AS DOUBLE)) FILTER (WHERE returned = 0) AS v2 FROM clean)"""))
+             var_samp(CAST(item_price AS DOUBLE)) FILTER (WHERE returned = 0) AS v2 FROM clean))"""))
 def q_welch_ttest_price(spark, sf_dir):
-    """Welch t statistic and degrees of freedom of price by label."""
+    """Welch t statistic, degrees of freedom and p-value of price by label."""
     t = PR.welch_ttest(clean_items(spark, sf_dir), "item_price", "returned")
     return t.select("n1", F.round("m1", 6).alias("m1"), F.round("v1", 4).alias("v1"), "n2",
                     F.round("m2", 6).alias("m2"), F.round("v2", 4).alias("v2"),
-                    F.round("t", 6).alias("t"), F.round("dof", 4).alias("dof"))
+                    F.round("t", 6).alias("t"), F.round("dof", 4).alias("dof"), F.round("p", 6).alias("p"))
 
 
 @register("price_histogram", with_clean("""

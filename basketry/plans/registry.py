@@ -37,5 +37,5 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     # Importing the modules runs their @register decorators.
-    from basketry.plans import (q_clean, q_encode, q_evaluate, q_features,  # noqa: F401
+    from basketry.plans import (q_boost, q_clean, q_encode, q_evaluate, q_features,  # noqa: F401
                                 q_profile, q_series)
