@@ -2,9 +2,9 @@
 ``DataFrame -> DataFrame`` and adds its columns to every row.
 
 Pattern everywhere: aggregate on the family's keys (partial aggregation,
-so a hot key never lands whole in one task), then left-join the small
-per-key table back (AQE broadcasts it when its measured size allows and
-splits skewed partitions otherwise). Windows only run on pre-aggregated
+so a hot key never lands whole in one task) into one long table for all the
+family's groupings, and attach it to the rows (``operators/attach.py``).
+Windows only run on pre-aggregated
 tables (distinct user-days), never over raw rows of a user.
 """
 
@@ -15,9 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.functions.aggregates import (attribute_subsets, explode_groupings, group_stats,
-                                          multi_group_stats, split_groupings, stat_name)
+from basketry.functions.aggregates import attribute_subsets, explode_groupings, group_stats, multi_group_stats, stat_name
 from basketry.functions.columns import AGE_EDGES, REG_AGE_EDGES, bin_code, round_half_even
+from basketry.operators.attach import GroupTable, attach, one_grouping
 
 # Attribute orders used by the reference for naming (fixed values).
 ITEM_ATTRS = ["item_id", "size", "item_color", "brand_id"]
@@ -51,11 +51,9 @@ def date_parts(df: DataFrame) -> DataFrame:
     return df.withColumns({c: cols[c] for c in ordered})
 
 
-# -- per-key feature tables ----------------------------------------------------
-# Every family below is a list of (join keys, table) pairs computed from one
-# base frame; ``join_tables`` attaches them. Keeping the tables separate lets
-# the build plan write each one once and let the planner broadcast the ones
-# whose measured size is small.
+# -- tables by key ---------------------------------------------------------------
+# (join keys, table) pairs of strings or of one key; families of numbers over
+# many groupings are ``GroupTable``s.
 
 KeyedTable = tuple[list[str], DataFrame]
 
@@ -87,11 +85,10 @@ def multi_count(df: DataFrame, groupings: Sequence[Sequence[str]]) -> DataFrame:
     return long.groupBy("_g", *keys).agg(_count().alias("n"))
 
 
-def same_item_tables(df: DataFrame, attrs: Sequence[str] = ITEM_ATTRS) -> list[KeyedTable]:
+def same_item_groups(df: DataFrame, attrs: Sequence[str] = ITEM_ATTRS) -> list[GroupTable]:
     subsets = attribute_subsets(attrs, range(1, len(attrs) + 1))
     groupings = [["order_id", *s] for s in subsets]
-    return split_groupings(multi_count(df, groupings), groupings,
-                           lambda g, c: "order_number_same_" + "_".join(g[1:]))
+    return [GroupTable(groupings, multi_count(df, groupings), lambda g, c: "order_number_same_" + "_".join(g[1:]))]
 
 
 def same_item_post(df: DataFrame, attrs: Sequence[str] = ITEM_ATTRS) -> DataFrame:
@@ -105,12 +102,12 @@ def same_item_counts(df: DataFrame, attrs: Sequence[str] = ITEM_ATTRS) -> DataFr
     """For each attribute subset s: rows of the order sharing the row's
     values of s (``order_number_same_{s}``) and the rest of the order
     (``order_number_different_{s}``). Needs ``order_item_count``."""
-    return same_item_post(join_tables(df, same_item_tables(df, attrs)), attrs)
+    return same_item_post(attach(df, same_item_groups(df, attrs)), attrs)
 
 
 # -- A18-A20 -------------------------------------------------------------------
 
-def order_nunique_tables(df: DataFrame) -> list[KeyedTable]:
+def order_nunique_groups(df: DataFrame) -> list[GroupTable]:
     a = df.groupBy("order_id").agg(
         F.count_distinct("item_id").alias("order_item_id_nunique"),
         F.count_distinct("size").alias("order_size_nunique"),
@@ -123,23 +120,23 @@ def order_nunique_tables(df: DataFrame) -> list[KeyedTable]:
         F.count_distinct("item_color").alias("order_brand_id_color_nunique"),
         F.count_distinct("size").alias("order_brand_id_size_nunique"),
         F.count_distinct("item_id").alias("order_brand_id_item_id_nunique"))
-    return [(["order_id"], a), (["order_id", "item_id"], b), (["order_id", "brand_id"], c)]
+    return [one_grouping(["order_id"], a), one_grouping(["order_id", "item_id"], b), one_grouping(["order_id", "brand_id"], c)]
 
 
 def order_nunique(df: DataFrame) -> DataFrame:
     """Distinct items/sizes/brands/colours per order, per (order, item) and
     per (order, brand)."""
-    return join_tables(df, order_nunique_tables(df))
+    return attach(df, order_nunique_groups(df))
 
 
 # -- A21, P28 ------------------------------------------------------------------
 PRICE_KEYS = ("item_id", "user_id", "brand_id")
 
 
-def price_stat_tables(df: DataFrame, keys: Sequence[str] = PRICE_KEYS) -> list[KeyedTable]:
+def price_stat_groups(df: DataFrame, keys: Sequence[str] = PRICE_KEYS) -> list[GroupTable]:
     groupings = [[k] for k in keys]
     long = multi_group_stats(df, groupings, "item_price", PRICE_STATS)
-    return split_groupings(long, groupings, lambda g, c: stat_name("item_price", g, c))
+    return [GroupTable(groupings, long, lambda g, c: stat_name("item_price", g, c))]
 
 
 def price_diff_post(df: DataFrame, keys: Sequence[str] = PRICE_KEYS) -> DataFrame:
@@ -151,7 +148,7 @@ def price_diff_post(df: DataFrame, keys: Sequence[str] = PRICE_KEYS) -> DataFram
 
 def price_stats(df: DataFrame, keys: Sequence[str] = PRICE_KEYS) -> DataFrame:
     """Eight price statistics per item, user and brand, then the diffs."""
-    return price_diff_post(join_tables(df, price_stat_tables(df, keys)), keys)
+    return price_diff_post(attach(df, price_stat_groups(df, keys)), keys)
 
 
 # -- A25 -----------------------------------------------------------------------
@@ -173,16 +170,16 @@ def user_modes(df: DataFrame, cols: Sequence[str] = MODE_COLS) -> DataFrame:
 DELIVERY_KEYS = ("item_id", "size", "brand_id", "item_color", "user_id")
 
 
-def delivery_stat_tables(df: DataFrame, keys: Sequence[str] = DELIVERY_KEYS,
-                         stats: Sequence[str] = DELIVERY_STATS) -> list[KeyedTable]:
+def delivery_stat_groups(df: DataFrame, keys: Sequence[str] = DELIVERY_KEYS,
+                         stats: Sequence[str] = DELIVERY_STATS) -> list[GroupTable]:
     groupings = [[k] for k in keys]
     long = multi_group_stats(df, groupings, "delivery_time", stats)
-    return split_groupings(long, groupings, lambda g, c: stat_name("delivery_time", g, c))
+    return [GroupTable(groupings, long, lambda g, c: stat_name("delivery_time", g, c))]
 
 
 def delivery_stats(df: DataFrame, keys: Sequence[str] = DELIVERY_KEYS,
                    stats: Sequence[str] = DELIVERY_STATS) -> DataFrame:
-    return join_tables(df, delivery_stat_tables(df, keys, stats))
+    return attach(df, delivery_stat_groups(df, keys, stats))
 
 
 # -- W1-W3, A27 ----------------------------------------------------------------
@@ -196,12 +193,12 @@ def _gap_table(df: DataFrame, keys: Sequence[str], date_col: str, name: str) ->
     return days.withColumn(name, F.datediff(F.col(date_col), F.lag(date_col).over(w)))
 
 
-def recency_tables(df: DataFrame, date_col: str = "order_date", kind: str = "order",
-                   attrs: Sequence[str] = ITEM_ATTRS, stats: Sequence[str] = RECENCY_STATS) -> list[KeyedTable]:
+def recency_groups(df: DataFrame, date_col: str = "order_date", kind: str = "order",
+                   attrs: Sequence[str] = ITEM_ATTRS, stats: Sequence[str] = RECENCY_STATS) -> list[GroupTable]:
     name = f"days_since_last_{kind}"
     gaps = _gap_table(df, ["user_id"], date_col, name)
     st = group_stats(gaps, ["user_id"], name, stats)
-    out = [(["user_id", date_col], gaps.join(st, "user_id", "left").fillna(0))]
+    out = [one_grouping(["user_id", date_col], gaps.join(st, "user_id", "left").fillna(0))]
     subsets = attribute_subsets(attrs, range(1, len(attrs) + 1))
     groupings = [["user_id", *s, date_col] for s in subsets]
     long, keys = explode_groupings(df, groupings)
@@ -209,14 +206,14 @@ def recency_tables(df: DataFrame, date_col: str = "order_date", kind: str = "ord
     w = Window.partitionBy(*part).orderBy(date_col)
     gl = long.distinct().withColumn(
         "gap", F.coalesce(F.datediff(F.col(date_col), F.lag(date_col).over(w)), F.lit(0)))
-    return out + split_groupings(gl, groupings, lambda g, c: f"{name}_same_" + "_".join(g[1:-1]))
+    return [*out, GroupTable(groupings, gl, lambda g, c: f"{name}_same_" + "_".join(g[1:-1]))]
 
 
 def recency_features(df: DataFrame, date_col: str = "order_date", kind: str = "order",
                      attrs: Sequence[str] = ITEM_ATTRS, stats: Sequence[str] = RECENCY_STATS) -> DataFrame:
     """``days_since_last_{kind}`` per user (0 on the first), its per-user
     statistics, and ``days_since_last_{kind}_same_{s}`` per (user, subset)."""
-    return join_tables(df, recency_tables(df, date_col, kind, attrs, stats))
+    return attach(df, recency_groups(df, date_col, kind, attrs, stats))
 
 
 # -- P33, P34, A28 -------------------------------------------------------------
@@ -249,64 +246,70 @@ def add_bins(df: DataFrame) -> DataFrame:
 BIN_COLUMNS = ["order_sum_bins", "item_price_bins", "age_bins", "reg_age_bins"]
 
 
-def binned_stat_tables(binned: DataFrame) -> list[KeyedTable]:
-    return delivery_stat_tables(binned, BIN_COLUMNS + ["order_weekday", "delivery_weekday"], DELIVERY_STATS7)
+def binned_stat_groups(binned: DataFrame) -> list[GroupTable]:
+    return delivery_stat_groups(binned, BIN_COLUMNS + ["order_weekday", "delivery_weekday"], DELIVERY_STATS7)
 
 
 def binned_delivery_stats(df: DataFrame) -> DataFrame:
     """Delivery-time statistics (7) per bin column and per order/delivery
     weekday; the bin columns are dropped afterwards."""
     df = add_bins(df)
-    return join_tables(df, binned_stat_tables(df)).drop(*BIN_COLUMNS)
+    return attach(df, binned_stat_groups(df)).drop(*BIN_COLUMNS)
 
 
 # -- A29 -----------------------------------------------------------------------
 
-def interaction_tables(df: DataFrame, attrs: Sequence[str] = INTERACTION_ATTRS,
-                       sizes: Sequence[int] = (2, 3)) -> list[KeyedTable]:
+def interaction_groups(df: DataFrame, attrs: Sequence[str] = INTERACTION_ATTRS,
+                       sizes: Sequence[int] = (2, 3)) -> list[GroupTable]:
     groupings = attribute_subsets(attrs, sizes)
     long = multi_group_stats(df, groupings, "delivery_time", DELIVERY_STATS7)
-    return split_groupings(long, groupings, lambda g, c: stat_name("delivery_time", g, c))
+    return [GroupTable(groupings, long, lambda g, c: stat_name("delivery_time", g, c))]
 
 
 def interaction_stats(df: DataFrame, attrs: Sequence[str] = INTERACTION_ATTRS,
                       sizes: Sequence[int] = (2, 3)) -> DataFrame:
     """Delivery-time statistics (7) for every attribute pair and triple."""
-    return join_tables(df, interaction_tables(df, attrs, sizes))
+    return attach(df, interaction_groups(df, attrs, sizes))
 
 
 # -- A30, W4, W5 ---------------------------------------------------------------
 
-def user_count_tables(df: DataFrame, attrs: Sequence[str] = USER_ATTRS) -> list[KeyedTable]:
+def user_count_groups(df: DataFrame, attrs: Sequence[str] = USER_ATTRS) -> list[GroupTable]:
     subsets = [[]] + attribute_subsets(attrs, range(1, len(attrs) + 1))
-    totals = [["user_id", *s] for s in subsets]
-    out = split_groupings(multi_count(df, totals), totals,
-                          lambda g, c: "_".join(["user_id", *g[1:], "total_items_ordered"]))
     days = [["user_id", *s, "order_date"] for s in subsets]
     daily = multi_count(df, days)
+    # Items per user and subset, up to each day and in all, off the same daily counts.
     part = ["_g"] + [k for k in daily.columns if k not in ("_g", "order_date", "n")]
-    w = Window.partitionBy(*part).orderBy("order_date").rowsBetween(Window.unboundedPreceding, 0)
-    running = daily.withColumn("cum", F.sum("n").over(w)).drop("n")
+    w = Window.partitionBy(*part).orderBy("order_date")
+    running = daily.select(*daily.columns, F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"),
+                           F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total")).drop("n")
 
-    def rname(g, c):
+    def name(g, c):
         s = g[1:-1]
-        return "user_id_total_items_ordered_cumsum" if not s else "user_id_" + "_".join(s) + "_cumsum_items_ordered"
-    run = split_groupings(running, days, rname)
-    # ledger order: user total, user running count, subset totals, subset running counts
-    return [out[0], run[0]] + out[1:] + run[1:]
+        if c == "total":
+            return "_".join(["user_id", *s, "total_items_ordered"])
+        return "user_id_" + "_".join(s) + "_cumsum_items_ordered" if s else "user_id_total_items_ordered_cumsum"
+    return [GroupTable(days, running, name)]
+
+
+def user_count_names(attrs: Sequence[str] = USER_ATTRS) -> list[str]:
+    """Ledger order: user total, user running count, subset totals, subset running counts."""
+    subsets = ["_".join(s) for s in attribute_subsets(attrs, range(1, len(attrs) + 1))]
+    return ["user_id_total_items_ordered", "user_id_total_items_ordered_cumsum", *[f"user_id_{s}_total_items_ordered" for s in subsets],
+            *[f"user_id_{s}_cumsum_items_ordered" for s in subsets]]
 
 
 def user_counts(df: DataFrame, attrs: Sequence[str] = USER_ATTRS) -> DataFrame:
     """Items per user and per (user, subset), and running counts per day."""
-    return join_tables(df, user_count_tables(df, attrs))
+    return attach(df, user_count_groups(df, attrs)).select(*df.columns, *user_count_names(attrs))
 
 
 # -- A31 -----------------------------------------------------------------------
 NUNIQUE_COLS = ("item_id", "size", "item_color", "brand_id")
 
 
-def user_nunique_tables(df: DataFrame, attrs: Sequence[str] = USER_ATTRS,
-                        cols: Sequence[str] = NUNIQUE_COLS) -> list[KeyedTable]:
+def user_nunique_groups(df: DataFrame, attrs: Sequence[str] = USER_ATTRS,
+                        cols: Sequence[str] = NUNIQUE_COLS) -> list[GroupTable]:
     subsets = attribute_subsets(attrs, range(0, 3))
     groupings = [["user_id", *s] for s in subsets]
     long, keys = explode_groupings(df, groupings, [F.col(c).alias(f"_d_{c}") for c in cols])
@@ -315,14 +318,14 @@ def user_nunique_tables(df: DataFrame, attrs: Sequence[str] = USER_ATTRS,
     def name(g, c):
         col = c[len("_nu_"):]
         return None if col in g else f"user_id_{col}_nunique_" + "_".join(g[1:])
-    return split_groupings(agg, groupings, name)
+    return [GroupTable(groupings, agg, name)]
 
 
 def user_nunique(df: DataFrame, attrs: Sequence[str] = USER_ATTRS,
                  cols: Sequence[str] = NUNIQUE_COLS) -> DataFrame:
     """Distinct items/sizes/colours/brands per user and per (user, subset)
     for subsets of size 0-2; the subset's own columns are left out."""
-    return join_tables(df, user_nunique_tables(df, attrs, cols))
+    return attach(df, user_nunique_groups(df, attrs, cols))
 
 
 # -- P31 -----------------------------------------------------------------------

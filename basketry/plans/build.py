@@ -4,15 +4,14 @@ Stages (each a Spark job graph, no rows pass through the driver):
 
 1. ``clean_orders`` (18 columns), written to the shared checkpoint folder.
 2. Row-level additions that need no grouping beyond one key: date parts,
-   order totals, quantile/fixed bins. Written once more: every feature
-   table below reads this frame.
-3. Twelve feature families. Inside a family every grouping shares one
-   expanded partial aggregate (grouping sets) whose per-key tables are
-   joined back on their keys (AQE: broadcast when measured small, else
-   sort-merge with skew splitting). Each family is written as
-   (row key + its columns).
-4. One chain of joins on the row key, label codes for six low-cardinality
-   columns, and the column order of the reference's ledger.
+   order totals, quantile/fixed bins. Written once more, with row numbers:
+   every feature table below reads this frame.
+3. Twelve feature families over some 110 groupings, each one long table.
+   All are attached in one pass: narrow rows (row number, grouping, keys)
+   join the long tables and are gathered by row number, so the wide rows are
+   shuffled once. The users' most frequent values join by user.
+4. Label codes for six low-cardinality columns, and the column order of the
+   reference's ledger.
 """
 
 from __future__ import annotations
@@ -20,7 +19,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from basketry.operators import features as FT
+from basketry.functions.aggregates import attribute_subsets
 from basketry.functions.columns import STATE_SHORT_NAMES
+from basketry.operators.attach import ROW, GroupTable, attach, numbered
 from basketry.operators.clean import clean_orders
 from basketry.session import materialize
 from basketry.sources.fixtures import FIXTURE_STATE_NAMES, order_items
@@ -29,48 +30,40 @@ from basketry.sources.fixtures import FIXTURE_STATE_NAMES, order_items
 LABEL_ENCODED = ["size", "item_color", "user_title", "user_state", "mode_size", "mode_item_color"]
 
 
-#: Numbers the rows of the written base frame, as items may repeat in every
-#: column; the families are joined back on it.
-ROW_KEY = ["_row"]
+def feature_groups(base: DataFrame) -> list[tuple[list[GroupTable], list[str]]]:
+    """Each family's tables and its new columns, in ledger order."""
+    def family(tables, *more):
+        return tables, [n for t in tables for n in t.names()] + list(more)
 
-
-def feature_families(base: DataFrame) -> list[DataFrame]:
-    """Each family as (row key + its new columns), in ledger order. Inside a
-    family all groupings share one expanded aggregate (grouping sets), and
-    its per-key tables are joined back on their own keys."""
-    binned = FT.join_tables(base, FT.binned_stat_tables(base))
-    fams = [FT.same_item_counts(base), FT.order_nunique(base), FT.price_stats(base), FT.user_modes(base),
-            FT.delivery_stats(base), FT.recency_features(base, "order_date", "order"),
-            FT.recency_features(base, "delivery_date", "delivery"), binned,
-            FT.interaction_stats(base, sizes=[2]), FT.interaction_stats(base, sizes=[3]),
-            FT.user_counts(base), FT.user_nunique(base)]
-    have = set(base.columns)
-    return [f.select(*ROW_KEY, *[c for c in f.columns if c not in have]) for f in fams]
+    subsets = ["_".join(s) for s in attribute_subsets(FT.ITEM_ATTRS, range(1, len(FT.ITEM_ATTRS) + 1))]
+    return [
+        family(FT.same_item_groups(base), *[f"order_number_different_{s}" for s in subsets]),
+        family(FT.order_nunique_groups(base)),
+        family(FT.price_stat_groups(base), *[f"price-item_price_{k}_{s}" for k in FT.PRICE_KEYS for s in FT.PRICE_STATS if s in ("mean", "min", "max")]),
+        ([], [f"mode_{c}" for c in FT.MODE_COLS]),
+        family(FT.delivery_stat_groups(base)),
+        family(FT.recency_groups(base, "order_date", "order")),
+        family(FT.recency_groups(base, "delivery_date", "delivery")),
+        family(FT.binned_stat_groups(base)),
+        family(FT.interaction_groups(base, sizes=[2])),
+        family(FT.interaction_groups(base, sizes=[3])),
+        (FT.user_count_groups(base), FT.user_count_names()),
+        family(FT.user_nunique_groups(base)),
+    ]
 
 
 def build_features(spark: SparkSession, sf_dir: str | None = None, raw: DataFrame | None = None) -> DataFrame:
-    """The 467-column frame (plus ``split``).
-
-    Each family frame is written once (row key + its columns); the wide
-    frame is then one chain of joins on the row key, where every input is
-    already a written table, so the joins are co-partitioned sort-merge
-    joins (one exchange per input) and the plan stays small."""
+    """The 467-column frame (plus ``split``)."""
     if raw is None:
         raw = order_items(spark, sf_dir)
     raw = materialize(raw, "raw")
     clean = clean_orders(raw, state_names=FIXTURE_STATE_NAMES if sf_dir else STATE_SHORT_NAMES)
     clean = materialize(clean, "clean")
-    base = FT.add_bins(FT.order_totals(FT.date_parts(clean)))
-    base = materialize(base.withColumn("_row", F.monotonically_increasing_id()), "base")
+    base = numbered(FT.add_bins(FT.order_totals(FT.date_parts(clean))))
 
-    fams = [materialize(f, "family") for f in feature_families(base)]
-    wide = base
-    ordered = [c for c in base.columns if c not in ROW_KEY]
-    for f in fams:
-        wide = wide.join(f, ROW_KEY, "left")
-        ordered += [c for c in f.columns if c not in ROW_KEY]
-    ordered = [c for c in ordered if c not in FT.BIN_COLUMNS]
-    wide = wide.select(*ordered)
-    wide = materialize(wide, "wide")
-    codes = FT.label_code_tables(wide, LABEL_ENCODED)
-    return FT.apply_label_codes(wide, codes).select(*ordered)
+    families = feature_groups(base)
+    wide = attach(base, [t for tables, _ in families for t in tables])
+    wide = FT.price_diff_post(FT.same_item_post(FT.join_tables(wide, FT.user_mode_tables(base))))
+    ordered = [c for c in base.columns if c not in (ROW, *FT.BIN_COLUMNS)] + [n for _, names in families for n in names]
+    wide = materialize(wide.select(*[F.col(f"`{c}`") for c in ordered]), "wide")
+    return FT.apply_label_codes(wide, FT.label_code_tables(wide, LABEL_ENCODED)).select(*[F.col(f"`{c}`") for c in ordered])
