@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from basketry.functions.columns import round_half_even
+from basketry.functions.quantiles import quantiles_of_frequencies
 from basketry.session import materialize
 
 ALL_STATS = ("mean", "std", "min", "max", "sum", "count", "median", "mad", "skew")
@@ -80,10 +81,12 @@ def null_safe_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]):
 
 
 def multi_group_stats(df: DataFrame, groupings: Sequence[Sequence[str]], value: str,
-                      stats: Sequence[str] = ALL_STATS, digits: int = 2) -> DataFrame:
+                      stats: Sequence[str] = ALL_STATS, digits: int = 2, many_values: bool = False) -> DataFrame:
     """Statistics of ``value`` for every grouping at once, in long form:
     ``_g``, all key columns, and one column per statistic (named by the
-    statistic). ``split_groupings`` turns it into per-grouping tables."""
+    statistic). ``split_groupings`` turns it into per-grouping tables. With
+    ``many_values`` (a column without a bound on its different values) the
+    medians split over tasks too."""
     dtype = df.schema[value].dataType
     # Decimal values with as many decimals as the output: the median is
     # taken over integer units, so a midpoint tie (x.xx5) is exact in every
@@ -93,17 +96,21 @@ def multi_group_stats(df: DataFrame, groupings: Sequence[Sequence[str]], value:
                                    [F.col(value).alias("_v")])
     gk = ["_g", *keys]
     freq = long.groupBy(*gk, "_v").agg(F.count(F.lit(1)).alias("_freq"))
-    return stats_of_frequencies(freq, gk, stats, digits, units)
+    return stats_of_frequencies(materialize(freq, "frequencies") if many_values else freq, gk, stats, digits, units, many_values)
 
 
 def stats_of_frequencies(freq: DataFrame, gk: Sequence[str], stats: Sequence[str] = ALL_STATS, digits: int = 2,
-                         units: int | None = None) -> DataFrame:
-    """Statistics per key from a table of keys, values ``_v`` and counts ``_freq``."""
+                         units: int | None = None, many_values: bool = False) -> DataFrame:
+    """Statistics per key from a table (with ``many_values``: a written one) of
+    keys, values ``_v`` and counts ``_freq``."""
     vv, n = F.col("_v"), F.col("_freq")
+    whole = (vv * units).cast("long") if units else vv
     base = freq.groupBy(*gk).agg(
-        F.sum(n).alias("_tot"), F.sum(n * vv).alias("_S"),
-        F.min(vv).alias("_min"), F.max(vv).alias("_max"),
-        F.percentile((vv * units).cast("long") if units else vv, 0.5, n).alias("_median"))
+        F.sum(n).alias("_tot"), F.sum(n * vv).alias("_S"), F.min(vv).alias("_min"), F.max(vv).alias("_max"),
+        *([] if many_values else [F.percentile(whole, 0.5, n).alias("_median")]))
+    if many_values:
+        medians = quantiles_of_frequencies(freq.select(*gk, whole.alias("_v"), "_freq"), gk, [0.5], ["_median"])
+        base = base.join(medians, null_safe_keys(base, medians, gk), "left").select(base["*"], "_median")
     mean = F.col("_S").cast("double") / F.col("_tot")
     need_dev = any(s in stats for s in ("std", "mad", "skew"))
     if need_dev:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.aggregates import attribute_subsets, explode_groupings, group_stats, multi_group_stats, stat_name
 from basketry.functions.columns import AGE_EDGES, REG_AGE_EDGES, bin_code, round_half_even
+from basketry.functions.quantiles import quantiles
 from basketry.operators.attach import GroupTable, attach, one_grouping
 
 # Attribute orders used by the reference for naming (fixed values).
@@ -135,7 +136,7 @@ PRICE_KEYS = ("item_id", "user_id", "brand_id")
 
 def price_stat_groups(df: DataFrame, keys: Sequence[str] = PRICE_KEYS) -> list[GroupTable]:
     groupings = [[k] for k in keys]
-    long = multi_group_stats(df, groupings, "item_price", PRICE_STATS)
+    long = multi_group_stats(df, groupings, "item_price", PRICE_STATS, many_values=True)
     return [GroupTable(groupings, long, lambda g, c: stat_name("item_price", g, c))]
 
 
@@ -219,13 +220,9 @@ def recency_features(df: DataFrame, date_col: str = "order_date", kind: str = "o
 # -- P33, P34, A28 -------------------------------------------------------------
 
 def quantile_edges(df: DataFrame, col: str, qs: Sequence[float], prefix: str) -> DataFrame:
-    """One-row frame: min, exact quantiles, max of ``col`` (from its
-    value-count table, so the final merge holds distinct values only)."""
-    freq = df.groupBy(F.col(col).alias("_v")).agg(_count().alias("_n")).filter(F.col("_v").isNotNull())
-    aggs = [F.min("_v").cast("double").alias(f"{prefix}0")]
-    aggs += [F.percentile("_v", q, F.col("_n")).alias(f"{prefix}{i + 1}") for i, q in enumerate(qs)]
-    aggs += [F.max("_v").cast("double").alias(f"{prefix}{len(qs) + 1}")]
-    return freq.agg(*aggs)
+    """One-row frame: min, exact quantiles, max of ``col``."""
+    names = [f"{prefix}{i}" for i in range(len(qs) + 2)]
+    return quantiles(df, F.col(col), [], [0.0, *qs, 1.0], names)
 
 
 def add_bins(df: DataFrame) -> DataFrame:

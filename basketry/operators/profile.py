@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.columns import round_half_even
+from basketry.functions.quantiles import quantiles
 
 
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -76,10 +77,10 @@ def frequent_values(df: DataFrame, col: str, min_count: int) -> DataFrame:
 def describe(df: DataFrame, col: str, percentiles: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """A5: count, mean, sample std, min, exact percentiles, max (pandas
     ``describe``; Spark's ``summary`` percentiles are approximate)."""
-    c = F.col(col)
-    pcts = [F.percentile(c, p).alias(f"p{round(p * 100, 4):g}".replace(".", "_")) for p in percentiles]
-    return df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                  F.min(c).alias("min"), *pcts, F.max(c).alias("max"))
+    c, names = F.col(col), [f"p{round(p * 100, 4):g}".replace(".", "_") for p in percentiles]
+    rest = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    both = rest.join(F.broadcast(quantiles(df, c, [], percentiles, names)), how="left") if names else rest
+    return both.select("count", "mean", "std", "min", *names, "max")
 
 
 def describe_counts(df: DataFrame, col: str, percentiles: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
@@ -230,8 +231,7 @@ def density(df: DataFrame, col: str, bandwidth: float, grid: Sequence[float] | N
 def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
     """T4: quartiles, 1.5 IQR fences and whisker ends per group."""
     v = F.col(value).cast("double")
-    q = df.groupBy(by).agg(F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.5).alias("median"),
-                           F.percentile(v, 0.75).alias("q3"))
+    q = quantiles(df, v, [by], [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     q = q.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     j = df.select(by, v.alias("_v")).join(q, by)
