@@ -2,21 +2,22 @@
 
 Every step is a ``DataFrame -> DataFrame`` function. Whole-column scalars
 (medians, the 98th percentile) are computed from small frequency tables
-``(value, n)``: the big frame is read once per scalar family with a
-partially aggregated ``groupBy``, and the scalar is then a one-row frame
-broadcast back. No scalar is pulled to the driver.
+``(value, n)``, all of which the chain takes in one pass of partially
+aggregated grouping sets; a scalar is then a one-row frame broadcast back.
+No scalar is pulled to the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.columns import (
     MISSING_DELIVERY_FILL, MISSING_TOKEN, STATE_SHORT_NAMES, lenient_date,
     null_if_token, size_class, size_ordinal, strict_date, years_between)
+from basketry.session import materialize
 
 RAW_COLUMNS = ["order_item_id", "order_date", "delivery_date", "item_id", "item_size",
                "item_color", "brand_id", "item_price", "user_id", "user_title", "user_dob",
@@ -51,13 +52,38 @@ def _one_row(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
-def impute_delivery(df: DataFrame, lo: int = 0, hi: int = 1000, q: float = 0.98) -> DataFrame:
+def _delivery_days() -> Column:
+    filled = F.coalesce(F.col("delivery_date"), F.lit(MISSING_DELIVERY_FILL).cast("date"))
+    return F.datediff(filled, F.col("order_date"))
+
+
+def _kept_state() -> Column:
+    return F.when((F.col("split") == "known") & (F.col("returned") == 0), F.col("user_state"))
+
+
+def _counts(df: DataFrame, value: Column) -> DataFrame:
+    return df.groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def value_counts(df: DataFrame) -> dict[str, DataFrame]:
+    """Frequency tables ``v, n`` of the delivery days, the age in years and
+    the state of kept items, by one pass of grouping sets that is written
+    once: the scalars and ranks of the whole chain come from these rows."""
+    names = ("days", "age", "state")
+    values = df.select(_delivery_days().alias("days"), years_between(F.col("order_date"), F.col("user_dob")).alias("age"),
+                       _kept_state().alias("state"))
+    sets = values.groupingSets([[F.col(c)] for c in names], *names).agg(F.count(F.lit(1)).alias("n"), *[F.grouping(c).alias(f"no_{c}") for c in names])
+    counts = materialize(sets, "clean-counts")
+    return {c: counts.where(F.col(f"no_{c}") == 0).select(F.col(c).alias("v"), "n") for c in names}
+
+
+def impute_delivery(df: DataFrame, lo: int = 0, hi: int = 1000, q: float = 0.98, freq: DataFrame | None = None) -> DataFrame:
     """delivery_time in days; values outside [lo, hi] -> whole-column median
     (truncated); delivery_date rebuilt from it; then capped at the
-    truncated q-quantile of the imputed column."""
-    filled = F.coalesce(F.col("delivery_date"), F.lit(MISSING_DELIVERY_FILL).cast("date"))
-    df = df.withColumn("_dt", F.datediff(filled, F.col("order_date")))
-    freq = df.groupBy(F.col("_dt").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    truncated q-quantile of the imputed column. ``freq`` may bring the
+    counts of the days (``value_counts``)."""
+    freq = _counts(df, _delivery_days()) if freq is None else freq
+    df = df.withColumn("_dt", _delivery_days())
     med = freq.agg(F.percentile("v", 0.5, F.col("n")).alias("_dt_med"))
     out_of_range = (F.col("v") < lo) | (F.col("v") > hi)
     imputed = (freq.crossJoin(_one_row(med))
@@ -86,12 +112,14 @@ def add_order_key(df: DataFrame) -> DataFrame:
                                                  F.col("user_id").cast("string")))
 
 
-def add_user_age(df: DataFrame, lo: int = 20, hi: int = 80) -> DataFrame:
+def add_user_age(df: DataFrame, lo: int = 20, hi: int = 80, freq: DataFrame | None = None) -> DataFrame:
     """Age in years at order time; null -> median age; rounded half-even to
     whole years; ages outside [lo, hi] -> median of the rounded ages
-    (truncated). ``lo=20`` is the reference's value (its comment says 18)."""
-    df = df.withColumn("_age", years_between(F.col("order_date"), F.col("user_dob")))
-    freq = df.groupBy(F.col("_age").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    (truncated). ``lo=20`` is the reference's value (its comment says 18).
+    ``freq`` may bring the counts of the ages (``value_counts``)."""
+    age = years_between(F.col("order_date"), F.col("user_dob"))
+    freq = _counts(df, age) if freq is None else freq
+    df = df.withColumn("_age", age)
     med1 = freq.agg(F.percentile("v", 0.5, F.col("n")).alias("_age_med1"))
     rounded = (freq.crossJoin(_one_row(med1))
                    .select(F.rint(F.coalesce("v", "_age_med1")).cast("int").alias("v"), "n"))
@@ -106,13 +134,13 @@ def add_user_age(df: DataFrame, lo: int = 20, hi: int = 80) -> DataFrame:
               .drop("_age", "_age_med1", "_age_med2"))
 
 
-def state_short_names(df: DataFrame, names: Sequence[str] = STATE_SHORT_NAMES) -> DataFrame:
+def state_short_names(df: DataFrame, names: Sequence[str] = STATE_SHORT_NAMES, freq: DataFrame | None = None) -> DataFrame:
     """Rename states by rank of their kept-item count (labelled rows with
     ``returned == 0``; ties by name). Only ``len(names)`` ranks exist: any
-    other state raises."""
+    other state raises. ``freq`` may bring those counts (``value_counts``)."""
     spark = df.sparkSession
-    top = (df.filter((F.col("split") == "known") & (F.col("returned") == 0))
-             .groupBy("user_state").agg(F.count(F.lit(1)).alias("_n"))
+    freq = _counts(df, _kept_state()) if freq is None else freq
+    top = (freq.where("v IS NOT NULL").select(F.col("v").alias("user_state"), F.col("n").alias("_n"))
              .orderBy(F.desc("_n"), F.asc("user_state")).limit(len(names)))
     ranked = top.withColumn("_rank", F.row_number().over(
         Window.orderBy(F.desc("_n"), F.asc("user_state"))))
@@ -135,13 +163,14 @@ CLEAN_COLUMNS = ["split", "order_item_id", "order_date", "delivery_date", "item_
 
 
 def clean_orders(raw: DataFrame, compat: bool = True, state_names: Sequence[str] = STATE_SHORT_NAMES) -> DataFrame:
-    """The whole cleaning chain: 14 raw columns (+ split) -> 18 (+ split)."""
-    df = (raw.transform(null_sentinels)
-             .transform(parse_dates)
-             .transform(impute_delivery)
-             .transform(add_size_class, compat=compat)
-             .transform(add_order_key)
-             .transform(add_user_age, lo=20 if compat else 18)
-             .transform(state_short_names, names=state_names)
-             .transform(add_reg_age))
+    """The whole cleaning chain: 14 raw columns (+ split) -> 18 (+ split).
+    ``raw`` is read twice: for the counts, and to apply what follows from them."""
+    parsed = raw.transform(null_sentinels).transform(parse_dates)
+    counts = value_counts(parsed)
+    df = (parsed.transform(impute_delivery, freq=counts["days"])
+                .transform(add_size_class, compat=compat)
+                .transform(add_order_key)
+                .transform(add_user_age, lo=20 if compat else 18, freq=counts["age"])
+                .transform(state_short_names, names=state_names, freq=counts["state"])
+                .transform(add_reg_age))
     return df.select(*CLEAN_COLUMNS)

@@ -4,8 +4,7 @@ Every window is partitioned by ``symbol`` and ordered by date: the series
 of different symbols run in parallel and a global ordering never collapses
 the job into one task. Lags, rolling means and rates of change are frame
 functions; the two recursive smoothers (T3 average, Wilder's ATR) cannot
-be written as a frame aggregate and are folds over a symbol's rows in date
-order (bounded by the number of days).
+be written as a frame aggregate and are scans over blocks of a symbol's days.
 """
 
 from __future__ import annotations
@@ -15,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.session import materialize
+
 MA_WINDOWS = (7, 14, 30, 60, 90)
 N_LAGS = 14
 
@@ -104,10 +105,15 @@ def rate_of_change(df: DataFrame, windows: Sequence[int] = MA_WINDOWS) -> DataFr
 
 # -- W11, W12: recursive smoothers ------------------------------------------------
 
-def seeded_ema(x: Column, n: int, k: float) -> Column:
+#: Days of a symbol that are folded in one array.
+BLOCK_DAYS = 256
+
+
+def seeded_ema(x: Column, n: int | Column, k: float) -> Column:
     """Exponential mean of an array with weight ``k``, seeded by the mean of
     its first ``n`` non-null values; null before the seed and where the
-    array is null. Wilder's average is the one with ``k`` = 1 / n."""
+    array is null. Wilder's average is the one with ``k`` = 1 / n. With
+    ``n`` = 0 the mean starts from zero before the first value."""
     start = F.struct(F.lit(0).alias("c"), F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out"))
 
     def step(acc: Column, v: Column) -> Column:
@@ -119,27 +125,76 @@ def seeded_ema(x: Column, n: int, k: float) -> Column:
     return F.aggregate(x, start, step, lambda acc: acc["out"])
 
 
+def _carried(starts: Sequence[Column], i: Column, k: float) -> list[Column]:
+    """What states before a block still add to each chained mean at its
+    ``i``-th value: (1 - k)^i * k^d * C(i + d - 1, d) of the state ``d`` levels up."""
+    out = []
+    for j in range(len(starts)):
+        total, factor = F.lit(0.0), F.pow(F.lit(1.0 - k), i)
+        for d in range(j + 1):
+            total = total + factor * starts[j - d]
+            factor = factor * k * (i + d) / (d + 1)
+        out.append(total)
+    return out
+
+
+def chained_ema(df: DataFrame, src: str, n: int, k: float, names: Sequence[str], block: int = BLOCK_DAYS) -> DataFrame:
+    """Adds ``len(names)`` means, the first the seeded mean (``seeded_ema``) of
+    ``src`` in date order of a symbol, every other that of the one before it;
+    null where ``src`` is null or a mean not yet seeded.
+
+    A step of the chain is an affine map of its states, so the rows are dealt
+    into blocks of ``block`` values: the head holds the values that seed all
+    means, every other block is folded from zero states, the states at the
+    block ends are composed in order (one small row per block), and each row
+    adds what the states before its block still carry. A symbol of any length
+    is thus folded in arrays of bounded length by many tasks."""
+    w, levels = _w(), len(names)
+    head = levels * (n - 1) + 1
+    at = F.count(src).over(w)
+    rows_so_far = F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    own = (F.when(F.col(src).isNull(), -2 - F.floor(rows_so_far / block))  # rows without a value: no states
+            .when(at <= head, -1).otherwise(F.floor((at - head - 1) / block)).cast("long"))
+    cells = F.struct(F.col("dt"), *[F.col(f"`{c}`") for c in df.columns if c != "dt"])
+    blocks = df.select("symbol", own.alias("_b"), cells.alias("_r")).groupBy("symbol", "_b").agg(F.array_sort(F.collect_list("_r")).alias("_d"))
+    blocks = blocks.withColumn("_m0", F.transform("_d", lambda r: r[src].cast("double")))
+    seeds = F.when(F.col("_b") == -1, n).otherwise(0)
+    for j in range(1, levels + 1):
+        blocks = blocks.withColumn(f"_m{j}", seeded_ema(F.col(f"_m{j - 1}"), seeds, k))
+    blocks = materialize(blocks.drop("_m0"), "ema-blocks")
+
+    ends = F.array(*[F.element_at(f"_m{j}", -1) for j in range(1, levels + 1)])
+    chain = (blocks.where("_b >= -1").groupBy("symbol")
+             .agg(F.array_sort(F.collect_list(F.struct(F.col("_b"), F.size("_d").alias("size"), ends.alias("ends")))).alias("_c")))
+    empty = F.struct(F.array(*[F.lit(0.0)] * levels).alias("s"), F.array().cast("array<struct<_b: bigint, _s: array<double>>>").alias("out"))
+
+    def compose(acc: Column, e: Column) -> Column:
+        carried = _carried([acc["s"][j] for j in range(levels)], e["size"], k)
+        s = F.when(e["_b"] == -1, e["ends"]).otherwise(F.array(*[c + e["ends"][j] for j, c in enumerate(carried)]))
+        return F.struct(s.alias("s"), F.concat(acc["out"], F.array(F.struct(e["_b"].alias("_b"), acc["s"].alias("_s")))).alias("out"))
+
+    starts = chain.select("symbol", F.inline(F.aggregate("_c", empty, compose, lambda acc: acc["out"])))
+    starts = starts.where("_b >= 0").select(F.col("symbol").alias("_symbol"), F.col("_b").alias("_block"), "_s")
+    rows = (blocks.join(starts, F.col("symbol").eqNullSafe(F.col("_symbol")) & (F.col("_b") == F.col("_block")), "left")
+            .select("_s", F.posexplode(F.arrays_zip("_d", *[f"_m{j}" for j in range(1, levels + 1)])).alias("_i", "_z")))
+    carried = _carried([F.col("_s")[j] for j in range(levels)], F.col("_i") + 1, k)
+    own_value = [F.col("_z")[f"_m{j + 1}"] for j in range(levels)]
+    means = [F.when(F.col("_z")["_d"][src].isNotNull(), F.when(F.col("_s").isNull(), v).otherwise(v + c)) for v, c in zip(own_value, carried)]
+    return rows.select(*[F.col("_z")["_d"][c].alias(c) for c in df.columns], *[m.alias(c) for m, c in zip(means, names)])
+
+
 def indicators(df: DataFrame, period: int = 5, vfactor: float = 0.7, atr_period: int = 14) -> DataFrame:
     """W11 + W12: T3 Bollinger bands of the lagged return (2 population
     standard deviations; T3 chains six seeded means) and the one-day-lagged
-    average true range, per symbol.
-
-    A symbol's rows are put in date order into one array, folded, and
-    expanded again: one shuffle by symbol, arrays as long as its days."""
+    average true range, per symbol."""
     w, before = _w(), F.lag("close").over(_w())
     win = w.rowsBetween(-(period - 1), 0)
-    src = df.withColumns({
+    out = df.withColumns({
         "_tr": F.when(before.isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before),
                                                      F.abs(F.col("low") - before)).cast("double")),
         "_std": F.when(F.count("return_t-1").over(win) == period, F.stddev_pop("return_t-1").over(win))})
-    rest = [c for c in src.columns if c not in ("symbol", "dt")]
-    arr = src.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("dt", *[F.col(f"`{c}`") for c in rest]))).alias("_d"))
-    arr = arr.withColumn("_e0", F.transform("_d", lambda r: r["return_t-1"].cast("double")))
-    for j in range(1, 7):
-        arr = arr.withColumn(f"_e{j}", seeded_ema(F.col(f"_e{j - 1}"), period, 2 / (period + 1)))
-    arr = arr.withColumn("_atr", seeded_ema(F.transform("_d", lambda r: r["_tr"]), atr_period, 1 / atr_period))
-    out = arr.select("symbol", F.inline(F.arrays_zip("_d", "_e3", "_e4", "_e5", "_e6", "_atr")))
-    out = out.select("symbol", "_d.*", "_e3", "_e4", "_e5", "_e6", "_atr")
+    out = chained_ema(out, "return_t-1", period, 2 / (period + 1), [f"_e{j}" for j in range(1, 7)])
+    out = chained_ema(out, "_tr", atr_period, 1 / atr_period, ["_atr"])
     a = vfactor
     mid = (-a ** 3 * F.col("_e6") + (3 * a ** 2 + 3 * a ** 3) * F.col("_e5")
            - (6 * a ** 2 + 3 * a + 3 * a ** 3) * F.col("_e4") + (1 + 3 * a + a ** 3 + 3 * a ** 2) * F.col("_e3"))
@@ -149,9 +204,10 @@ def indicators(df: DataFrame, period: int = 5, vfactor: float = 0.7, atr_period:
 
 def price_features(bars: DataFrame, train_start: str, train_end: str, with_indicators: bool = True) -> DataFrame:
     """W7-W12 and the target; rows with any null feature are dropped."""
-    df = returns(bars)
-    df = add_target(df, train_start, train_end)
-    df = rate_of_change(rolling_means(lags(df)))
-    if with_indicators:
-        df = indicators(df)
-    return df.na.drop("any")
+    df = add_target(returns(bars), train_start, train_end)
+    base = df.columns
+    if with_indicators:  # before the other features, as the scan carries the rows it is given
+        df = indicators(lags(df, 1))
+    made = [c for c in df.columns if c not in base and "_t-" not in c]
+    df = rate_of_change(rolling_means(lags(df.select(*base, *made))))
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in made], *made).na.drop("any")

@@ -155,3 +155,17 @@ def test_subsets():
     pairs = attribute_subsets(["item_id", "brand_id", "item_color", "size", "delivery_weekday", "user_id"], [2])
     triples = attribute_subsets(["item_id", "brand_id", "item_color", "size", "delivery_weekday", "user_id"], [3])
     assert len(pairs) == 14 and len(triples) == 16
+
+
+def test_counts_of_one_pass_give_the_same_cleaning(spark):
+    from basketry.operators import clean as C
+    rows = [("known" if i % 4 else "class", i, f"2013-0{1 + i % 9}-11", "?" if i % 6 == 0 else f"2013-0{1 + (i + 1) % 9}-{10 + i % 15}", i % 5, "M", "red", i % 3, float(i), i % 7, "Mrs",
+             "?" if i % 8 == 0 else f"19{40 + i % 50}-05-03", "ABC"[i % 3], "2012-01-01", None if i % 4 == 0 else i % 2) for i in range(60)]
+    raw = spark.createDataFrame(rows, "split string, order_item_id long, order_date string, delivery_date string, item_id long, item_size string, item_color string, brand_id long, "
+                                      "item_price double, user_id long, user_title string, user_dob string, user_state string, user_reg_date string, returned int")
+    names = ["s1", "s2", "s3"]
+    whole = C.clean_orders(raw, state_names=names)
+    steps = (raw.transform(C.null_sentinels).transform(C.parse_dates).transform(C.impute_delivery).transform(C.add_size_class)
+             .transform(C.add_order_key).transform(C.add_user_age).transform(C.state_short_names, names=names).transform(C.add_reg_age).select(*C.CLEAN_COLUMNS))
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(whole) == key(steps) and whole.count() == 60
