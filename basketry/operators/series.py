@@ -125,16 +125,13 @@ def seeded_ema(x: Column, n: int | Column, k: float) -> Column:
     return F.aggregate(x, start, step, lambda acc: acc["out"])
 
 
-def _carried(starts: Sequence[Column], i: Column, k: float) -> list[Column]:
-    """What states before a block still add to each chained mean at its
-    ``i``-th value: (1 - k)^i * k^d * C(i + d - 1, d) of the state ``d`` levels up."""
-    out = []
-    for j in range(len(starts)):
-        total, factor = F.lit(0.0), F.pow(F.lit(1.0 - k), i)
-        for d in range(j + 1):
-            total = total + factor * starts[j - d]
-            factor = factor * k * (i + d) / (d + 1)
-        out.append(total)
+def _left_after(i, k: float, levels: int) -> list:
+    """What is left of a state after ``i`` more values (a number or a column),
+    in its own mean and in each of those below it in the chain: for the mean
+    ``d`` levels below (1 - k)^i * k^d * C(i + d - 1, d)."""
+    out = [F.pow(F.lit(1.0 - k), i) if isinstance(i, Column) else (1.0 - k) ** i]
+    for d in range(1, levels):
+        out.append(out[-1] * k * (i + d - 1) / d)
     return out
 
 
@@ -165,22 +162,28 @@ def chained_ema(df: DataFrame, src: str, n: int, k: float, names: Sequence[str],
 
     ends = F.array(*[F.element_at(f"_m{j}", -1) for j in range(1, levels + 1)])
     chain = (blocks.where("_b >= -1").groupBy("symbol")
-             .agg(F.array_sort(F.collect_list(F.struct(F.col("_b"), F.size("_d").alias("size"), ends.alias("ends")))).alias("_c")))
+             .agg(F.array_sort(F.collect_list(F.struct(F.col("_b"), ends.alias("ends")))).alias("_c")))
     empty = F.struct(F.array(*[F.lit(0.0)] * levels).alias("s"), F.array().cast("array<struct<_b: bigint, _s: array<double>>>").alias("out"))
 
+    full = _left_after(block, k, levels)  # only the last block is not full, and no block follows it
+
     def compose(acc: Column, e: Column) -> Column:
-        carried = _carried([acc["s"][j] for j in range(levels)], e["size"], k)
-        s = F.when(e["_b"] == -1, e["ends"]).otherwise(F.array(*[c + e["ends"][j] for j, c in enumerate(carried)]))
+        after = [sum((F.lit(full[d]) * acc["s"][j - d] for d in range(j + 1)), e["ends"][j]) for j in range(levels)]
+        s = F.when(e["_b"] == -1, e["ends"]).otherwise(F.array(*after))
         return F.struct(s.alias("s"), F.concat(acc["out"], F.array(F.struct(e["_b"].alias("_b"), acc["s"].alias("_s")))).alias("out"))
 
     starts = chain.select("symbol", F.inline(F.aggregate("_c", empty, compose, lambda acc: acc["out"])))
     starts = starts.where("_b >= 0").select(F.col("symbol").alias("_symbol"), F.col("_b").alias("_block"), "_s")
     rows = (blocks.join(starts, F.col("symbol").eqNullSafe(F.col("_symbol")) & (F.col("_b") == F.col("_block")), "left")
             .select("_s", F.posexplode(F.arrays_zip("_d", *[f"_m{j}" for j in range(1, levels + 1)])).alias("_i", "_z")))
-    carried = _carried([F.col("_s")[j] for j in range(levels)], F.col("_i") + 1, k)
-    own_value = [F.col("_z")[f"_m{j + 1}"] for j in range(levels)]
-    means = [F.when(F.col("_z")["_d"][src].isNotNull(), F.when(F.col("_s").isNull(), v).otherwise(v + c)) for v, c in zip(own_value, carried)]
-    return rows.select(*[F.col("_z")["_d"][c].alias(c) for c in df.columns], *[m.alias(c) for m, c in zip(means, names)])
+    left = _left_after(F.col("_i") + 1, k, levels)
+    rows = rows.select("_s", F.col("_z._d").alias("_d"), *[F.col(f"_z._m{j}") for j in range(1, levels + 1)], *[c.alias(f"_k{d}") for d, c in enumerate(left)])
+    means = []
+    for j in range(levels):
+        own_value = F.col(f"_m{j + 1}")
+        whole = sum((F.col(f"_k{d}") * F.col("_s")[j - d] for d in range(j + 1)), own_value)
+        means.append(F.when(F.col("_d")[src].isNotNull(), F.when(F.col("_s").isNull(), own_value).otherwise(whole)))
+    return rows.select(*[F.col("_d")[c].alias(c) for c in df.columns], *[m.alias(c) for m, c in zip(means, names)])
 
 
 def indicators(df: DataFrame, period: int = 5, vfactor: float = 0.7, atr_period: int = 14) -> DataFrame:
