@@ -7,12 +7,18 @@ grouping, keys), joined to the long tables, and what they found is gathered
 by row number. So the wide rows are shuffled once, however many groupings
 there are, and a key that many rows share is a skewed join of narrow rows,
 which Spark splits.
+
+Groupings with few keys need none of that: the long tables are written and
+measured, and the smallest groupings are broadcast and looked up on the rows
+themselves, as long as all of them together stay below ``BROADCAST_BYTES``.
+Those are also the groupings whose keys are shared by many rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -23,6 +29,10 @@ from basketry.session import materialize
 
 #: Numbers the rows of a written frame, as rows may repeat in every column.
 ROW = "_row"
+#: Bound on all broadcast groupings of one pass together, and on their number
+#: (each is a join in one plan).
+BROADCAST_BYTES = 64 << 20
+BROADCASTS = 24
 
 
 @dataclass(frozen=True)
@@ -62,26 +72,89 @@ def numbered(df: DataFrame) -> DataFrame:
     return df if ROW in df.columns else materialize(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
-def _found(rows: DataFrame, table: GroupTable, first: int):
-    listed, keys = explode_groupings(rows, table.groupings, [ROW])
+def _written(tables: Sequence[GroupTable]) -> list[GroupTable]:
+    """The tables with their long frames written, several at a time."""
+    with ThreadPoolExecutor(4) as pool:
+        return list(pool.map(lambda t: replace(t, long=materialize(t.long, "groupings")), tables))
+
+
+def _bytes(tables: Sequence[GroupTable]) -> dict[tuple[int, int], int]:
+    """A bound on the size in memory of every grouping (place of the table and of the grouping)."""
+    sizes = []
+    for i, t in enumerate(tables):
+        strings = [F.coalesce(F.octet_length(k), F.lit(0)) for k, kind in t.long.select(*t.keys).dtypes if kind == "string"]
+        row = reduce(lambda a, b: a + b, strings, F.lit(64 + 16 * (len(t.keys) + len(t.values))))
+        sizes.append(t.long.groupBy("_g").agg(F.sum(row.cast("long")).alias("size")).select(F.lit(i).alias("table"), "_g", "size"))
+    found = {(r["table"], r["_g"]): r["size"] for r in reduce(DataFrame.unionByName, sizes).collect()}
+    return {(i, g): found.get((i, g), 0) for i, t in enumerate(tables) for g in range(len(t.groupings))}
+
+
+def _smallest(sizes: dict[tuple[int, int], int], limit: int) -> list[tuple[int, int]]:
+    out, whole = [], 0
+    for at in sorted(sizes, key=lambda at: (sizes[at], at))[:BROADCASTS]:
+        whole += sizes[at]
+        if whole > limit:
+            break
+        out.append(at)
+    return sorted(out)
+
+
+def _looked_up(rows: DataFrame, table: GroupTable, places: Sequence[int], name: Callable[[int, int], str]) -> DataFrame:
+    """``rows`` with the values of some groupings, each broadcast."""
+    # One small file, as it is read once per grouping.
+    small = table.long.where(F.col("_g").isin(list(places)))
+    small = materialize(small.repartition(1), "small-groupings") if len(table.groupings) > 1 else small
+    for g in places:
+        keys = {k: name(g, -1 - i) for i, k in enumerate(table.groupings[g])}
+        values = [F.col(f"`{table.values[v]}`").alias(name(g, v)) for p, v, _, _ in table.columns() if p == g]
+        own = small.where(F.col("_g") == g).select(*[F.col(k).alias(n) for k, n in keys.items()], *values)
+        on = reduce(lambda a, b: a & b, [rows[k] == own[n] for k, n in keys.items()])
+        rows = rows.join(F.broadcast(own), on, "left").drop(*keys.values())
+    return rows
+
+
+def _found(rows: DataFrame, table: GroupTable, places: Sequence[int], first: int) -> DataFrame:
+    """``_row, _g, _values`` of some groupings, numbered from ``first``."""
+    groupings = [table.groupings[g] for g in places]
+    listed, keys = explode_groupings(rows, groupings, [ROW])
     # A null key matches nothing, as in a join on the keys themselves.
-    whole = reduce(lambda a, b: a | b, [(F.col("_g") == i) & reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in g]) for i, g in enumerate(table.groupings)])
-    long = table.long.where(whole).select("_g", *keys, F.array(*[F.col(f"`{c}`").cast("double") for c in table.values]).alias("_values"))
+    whole = [(F.col("_g") == g) & reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in table.groupings[g]]) for g in places]
+    number = reduce(lambda c, n: c.when(F.col("_g") == n[1], n[0]), enumerate(places), F)
+    long = (table.long.where(reduce(lambda a, b: a | b, whole))
+            .select(number.alias("_g"), *keys, F.array(*[F.col(f"`{c}`").cast("double") for c in table.values]).alias("_values")))
     joined = listed.join(long, null_safe_keys(listed, long, ["_g", *keys]), "left")
     return joined.select(listed[ROW], (listed["_g"] + first).alias("_g"), long["_values"])
 
 
-def attach(df: DataFrame, tables: Sequence[GroupTable]) -> DataFrame:
+def attach(df: DataFrame, tables: Sequence[GroupTable], limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with the columns of all tables, null where a row's keys have no
-    row there (or are null). Values pass as doubles and take their type again:
+    row there (or are null). Groupings beyond ``limit`` bytes in all go by
+    narrow rows; there values pass as doubles and take their type again:
     whole numbers up to 2^53 are exact."""
-    rows = numbered(df)
-    parts, first, new = [], 0, []
-    for t in tables:
-        parts.append(_found(rows, t, first))
-        new += [F.get(F.get("_all", first + g)["_values"], v).cast(kind).alias(name) for g, v, kind, name in t.columns()]
-        first += len(t.groupings)
-    # One entry per row and grouping: their order is the groupings'.
-    gathered = (reduce(DataFrame.unionByName, parts).groupBy(ROW)
-                .agg(F.sort_array(F.collect_list(F.struct("_g", "_values"))).alias("_all")).withColumnRenamed(ROW, "_found_row"))
-    return rows.join(gathered, rows[ROW] == gathered["_found_row"], "left").select(*[rows[c] for c in df.columns], *new)
+    tables = _written(tables)
+    near = _smallest(_bytes(tables), limit)
+    value = lambda i: lambda g, v: f"_at_{i}_{g}_{v}" if v >= 0 else f"_key_{i}_{g}_{-1 - v}"
+    far = [(i, g) for i, t in enumerate(tables) for g in range(len(t.groupings)) if (i, g) not in set(near)]
+    rows = numbered(df) if far else df
+    wide = rows
+    if far:
+        parts, first = [], 0
+        for i, t in enumerate(tables):
+            places = [g for j, g in far if j == i]
+            if places:
+                parts.append(_found(rows, t, places, first))
+                first += len(places)
+        # One entry per row and grouping: their order is the groupings'.
+        gathered = (reduce(DataFrame.unionByName, parts).groupBy(ROW)
+                    .agg(F.sort_array(F.collect_list(F.struct("_g", "_values"))).alias("_all")).withColumnRenamed(ROW, "_found_row"))
+        wide = rows.join(gathered, rows[ROW] == gathered["_found_row"], "left").drop("_found_row")
+    for i, t in enumerate(tables):
+        places = [g for j, g in near if j == i]
+        if places:
+            wide = _looked_up(wide, t, places, value(i))
+    cells = []
+    for i, t in enumerate(tables):
+        for g, v, kind, name in t.columns():
+            cell = F.col(value(i)(g, v)) if (i, g) not in far else F.get(F.get("_all", far.index((i, g)))["_values"], v).cast(kind)
+            cells.append(cell.alias(name))
+    return wide.select(*[F.col(f"`{c}`") for c in df.columns], *cells)

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from basketry.functions.aggregates import stat_name
@@ -10,7 +11,9 @@ from basketry.operators.attach import GroupTable, attach, one_grouping
 from basketry.plans import build as B
 
 
-def test_equals_a_join_per_grouping(spark):
+@pytest.mark.parametrize("limit", [0, 700, 1 << 20])
+def test_equals_a_join_per_grouping(spark, limit):
+    """With no, some and all groupings broadcast."""
     rnd = random.Random(1)
     rows = [(rnd.choice(["a", "b", None]), rnd.choice([1, 2, None]), rnd.randrange(3), "same") for _ in range(200)] + [("lonely", 9, 9, "same")] * 2
     df = spark.createDataFrame(rows, "x string, y int, z int, v string")
@@ -18,7 +21,7 @@ def test_equals_a_join_per_grouping(spark):
     long = FT.multi_count(df, groupings).withColumn("big", F.lit(2 ** 53).cast("long"))
     tables = [GroupTable(groupings, long, lambda g, c: None if c == "big" and g == ["z"] else f"{c}_{'_'.join(g)}"),
               one_grouping(["z"], df.groupBy("z").agg(F.avg("y").alias("mean_y")).where("z < 2"))]
-    got = attach(df, tables)
+    got = attach(df, tables, limit)
     assert got.columns == ["x", "y", "z", "v", "n_x", "big_x", "n_x_y", "big_x_y", "n_z", "mean_y"]
     assert dict(got.dtypes)["n_x"] == "bigint" and dict(got.dtypes)["mean_y"] == "double"
     want = df
@@ -28,7 +31,7 @@ def test_equals_a_join_per_grouping(spark):
     cols = ["x", "y", "z", "v", "n_x", "n_x_y", "n_z", "mean_y"]
     assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
     assert got.where("x IS NULL AND n_x IS NOT NULL").count() == 0 and got.where("big_x <> 9007199254740992").count() == 0
-    assert attach(df.limit(0), tables).count() == 0
+    assert attach(df.limit(0), tables, limit).count() == 0
 
 
 def test_the_ledgers_column_counts(spark, monkeypatch):
