@@ -4,12 +4,16 @@ A small tree builder reads tags, comments and raw text, supplies implied end
 tags (``p``, ``li``, ``dt``/``dd``, table parts, options, ...) and moves
 stray table text before its table. Visibility rules hide what a page does not
 show: head, scripts, styles and templates; ``hidden`` attributes; closed
-``details`` and ``dialog``; what inline styles and simple style-sheet rules
-(one tag, class or id selector without combinators) say of ``display`` and
-``visibility``, by importance, specificity and order. Tags and text that may
+``details`` and ``dialog``; what inline styles and style-sheet rules (tag,
+class and id selectors with descendant and child combinators; not siblings,
+attributes or pseudo-classes) say of ``display`` and ``visibility``, by
+importance, specificity and order. Tags and text that may
 not stand in head end it. All other text is emitted, laid
 out as blocks with spacing, lists with markers and indents, preformatted text
-as it stands, and table cells in aligned columns.
+as it stands, and table cells in aligned columns. A column is as wide as its
+widest cell, unless that cell alone would fill the others with spaces far
+beyond the column's text; what stands beside a line that is wider than its
+column goes to the next line, so that columns stay aligned.
 
 Edge cases: a null page renders to empty text; malformed or unclosed markup
 never fails and costs one pass; elements nested deeper than ``MAX_DEPTH``
@@ -30,8 +34,9 @@ from pyspark.sql import DataFrame, functions as F
 from basketry.llm.words import slices
 
 MAX_DEPTH = 256
-#: Columns wider than this are not padded (a long cell would widen every row).
-PAD_WIDTH = 60
+#: Spaces that a column may be filled with: per line and per character of its text.
+PAD_LINE = 128
+PAD_TEXT = 4
 MAX_SPAN = 1000
 INDENT_LEVELS = 20
 
@@ -74,14 +79,15 @@ VALUES = {
     "visibility": GLOBAL | {"visible", "hidden", "collapse"},
     "content-visibility": GLOBAL | {"visible", "hidden", "auto"},
 }
-SELECTOR = re.compile(r"([a-z][a-z0-9-]*)?((?:[.#][\w-]+)*)$", re.I)
+SELECTOR = re.compile(r"(\*|[a-z][a-z0-9-]*)?((?:[.#][\w-]+)*)$", re.I)
+COMBINATOR = re.compile(r"(\s*>\s*|\s+)")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    __slots__ = ("tag", "attrs", "kids", "up")
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.kids = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict[str, str], up: Node | None = None):
+        self.tag, self.attrs, self.kids, self.up = tag, attrs, [], up
 
 
 # ---- tree -------------------------------------------------------------------
@@ -146,7 +152,7 @@ def build(page: str) -> Node:
             close(*IMPLIED[tag])
         if tag in ("td", "th") and stack[-1].tag in ("table", *SECTIONS):
             open_("tr", {})
-        node = Node(tag, attrs)
+        node = Node(tag, attrs, stack[-1])
         stack[-1].kids.append(node)
         if tag not in VOID and len(stack) < MAX_DEPTH:
             stack.append(node)
@@ -187,7 +193,7 @@ def build(page: str) -> Node:
                 leave_head()
                 stack[-1].kids.append(Node("br", {}))
             elif tag == "p" and not any(x.tag == "p" for x in stack):
-                stack[-1].kids.append(Node("p", {}))
+                stack[-1].kids.append(Node("p", {}, stack[-1]))
             else:
                 _end_tag(stack, tag)
     return root
@@ -217,7 +223,10 @@ def _end_tag(stack: list[Node], tag: str) -> None:
 
 # ---- visibility -------------------------------------------------------------
 
-Rule = tuple[str, frozenset, frozenset, tuple, dict]
+Compound = tuple[str, frozenset, frozenset]  # tag (or none), classes, ids
+#: Chains of parents and children from the element itself outwards, each chain from its innermost compound.
+Selector = list[list[Compound]]
+Rule = tuple[Selector, tuple, dict]
 
 
 def _declared(body: str) -> dict[str, tuple[bool, str]]:
@@ -235,22 +244,74 @@ def _declared(body: str) -> dict[str, tuple[bool, str]]:
 
 
 def visibility_rules(root: Node) -> dict[str, list[Rule]]:
-    """Simple style-sheet rules on visibility as (tag, classes, ids,
-    (specificity, position), declarations), by one id, class or tag they need."""
+    """Style-sheet rules on visibility as (selector, (specificity, position),
+    declarations), by one id, class or tag that their element needs."""
     out: dict[str, list[Rule]] = {}
     todo, n = [root], 0
     while todo:
         node = todo.pop()
         if isinstance(node, Node):
             if node.tag == "style":
-                for tag, classes, ids, marks, declared in _rules("".join(k for k in node.kids if isinstance(k, str))):
+                for selector, marks, declared in _rules("".join(k for k in node.kids if isinstance(k, str))):
                     n += 1
-                    key = f"#{min(ids)}" if ids else f".{min(classes)}" if classes else tag
-                    out.setdefault(key, []).append((tag, classes, ids, (*marks, n), declared))
+                    tag, classes, ids = selector[0][0]
+                    key = f"#{min(ids)}" if ids else f".{min(classes)}" if classes else tag or "*"
+                    out.setdefault(key, []).append((selector, (*marks, n), declared))
             todo.extend(reversed(node.kids))
     return out
 
 
+def _selector(text: str) -> tuple[Selector, tuple[int, int, int]] | None:
+    """A selector and its specificity; None if it is of a kind that is not read."""
+    parts = COMBINATOR.split(text)
+    chains: Selector = [[]]
+    n_ids = n_classes = n_tags = 0
+    for part in reversed(parts):
+        if not part.strip():
+            chains.append([])
+            continue
+        if part.strip() == ">":
+            continue
+        m = SELECTOR.match(part)
+        if not m or not m[0]:
+            return None
+        marks = re.findall(r"([.#])([\w-]+)", m[2])
+        classes, ids = (frozenset(x for k, x in marks if k == kind) for kind in ".#")
+        tag = "" if m[1] in (None, "*") else m[1].lower()
+        n_ids, n_classes, n_tags = n_ids + sum(k == "#" for k, _ in marks), n_classes + sum(k == "." for k, _ in marks), n_tags + bool(tag)
+        chains[-1].append((tag, classes, ids))
+    return (chains, (n_ids, n_classes, n_tags)) if all(chains) else None
+
+
+def _is(node: Node, compound: Compound) -> bool:
+    tag, classes, ids = compound
+    if node.tag == "#root":  # stands for the html and body that a page leaves out
+        return tag in ("html", "body") and not classes and not ids
+    return (not tag or tag == node.tag) and (not classes or classes <= set(node.attrs.get("class", "").split())) and (not ids or ids <= {node.attrs.get("id", "")})
+
+
+def _chain(node: Node | None, chain: list[Compound]) -> Node | None:
+    """The outermost element of a chain of parents that starts at ``node``."""
+    for k, compound in enumerate(chain):
+        if k:
+            node = node.up
+        if node is None or not _is(node, compound):
+            return None
+    return node
+
+
+def _selects(selector: Selector, node: Node) -> bool:
+    """Each chain at the nearest ancestor it fits leaves the most to the next."""
+    at = _chain(node, selector[0])
+    for chain in selector[1:]:
+        above, at = at and at.up, None
+        while above is not None and (at := _chain(above, chain)) is None:
+            above = above.up
+        if at is None:
+            return False
+    return at is not None
+
+
 def _rules(sheet: str) -> list[Rule]:
     sheet = re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet, flags=re.S)
     out, at = [], 0
@@ -270,12 +331,9 @@ def _rules(sheet: str) -> list[Rule]:
         declared = _declared(sheet[brace + 1:end if end >= 0 else len(sheet)])
         if declared:
             for s in selectors.split(","):
-                m = SELECTOR.match(s.strip())
-                if m and m[0]:
-                    marks = re.findall(r"([.#])([\w-]+)", m[2])
-                    kinds = [k for k, _ in marks]
-                    out.append(((m[1] or "").lower(), frozenset(x for k, x in marks if k == "."), frozenset(x for k, x in marks if k == "#"),
-                                (kinds.count("#"), kinds.count("."), int(bool(m[1]))), declared))
+                read = _selector(s.strip())
+                if read:
+                    out.append((*read, declared))
         if end < 0:
             break
         at = end + 1
@@ -297,9 +355,9 @@ def _shown(node: Node, seen: bool, rules: dict[str, list[Rule]]) -> tuple[bool,
 
     if rules:
         classes, name = set(attrs.get("class", "").split()), attrs.get("id", "")
-        for key in (tag, f"#{name}", *(f".{c}" for c in classes)):
-            for s_tag, s_classes, s_ids, rank, declared in rules.get(key, ()):
-                if (not s_tag or s_tag == tag) and s_classes <= classes and s_ids <= {name}:
+        for key in (tag, "*", f"#{name}", *(f".{c}" for c in classes)):
+            for selector, rank, declared in rules.get(key, ()):
+                if _selects(selector, node):
                     offer(declared, False, rank)
     if attrs.get("style"):
         offer(_declared(attrs["style"]), True, ())
@@ -384,7 +442,8 @@ class Table:
         """Rows with their cells in columns, two spaces apart."""
         taken: dict[int, int] = {}  # column: rows that a cell from above still fills
         grid: list[list[tuple[int, int, list[str]]]] = []
-        width: dict[int, int] = {}
+        sizes: dict[int, list[int]] = {}  # column: widths of the lines of its own cells
+        spans: dict[tuple[int, int], int] = {}  # (columns across, first column): widest line
         for row in self.rows:
             placed, col = [], 0
             for text, across, down in row:
@@ -395,11 +454,21 @@ class Table:
                     if down > 1:
                         taken[c] = down
                 if across == 1:
-                    wide = max(map(len, text), default=0)
-                    width[col] = max(width.get(col, 0), min(wide, PAD_WIDTH))
+                    sizes.setdefault(col, []).extend(map(len, text))
+                elif text:
+                    spans[across, col] = max(spans.get((across, col), 0), *map(len, text))
                 col += across
             grid.append(placed)
             taken = {c: n - 1 for c, n in taken.items() if n > 1}
+        width = {c: _column_width(w) for c, w in sizes.items()}
+        for (across, col), wide in sorted(spans.items()):
+            used = [width[c] for c in range(col, col + across) if width.get(c)]
+            more = wide - sum(used) - 2 * max(0, len(used) - 1)
+            if more > 0:  # the last column takes what the others lack
+                c = col + across - 1
+                more -= 0 if width.get(c) or not used else 2
+                if more * len(grid) <= PAD_LINE * len(grid) + PAD_TEXT * wide:
+                    width[c] = width.get(c, 0) + max(0, more)
         last = max((p[-1][0] + p[-1][1] for p in grid if p), default=0)
         start, x = [], 0
         for c in range(last + 1):
@@ -411,11 +480,26 @@ class Table:
                 line = ""
                 for col, _, text in placed:
                     if k < len(text) and text[k]:
-                        line = (line + "  " if line else "").ljust(start[col]) + text[k]
+                        if line and len(line) + 2 > start[col]:
+                            out.append(line.rstrip())
+                            line = ""
+                        line = line.ljust(start[col]) + text[k]
                 out.append(line.rstrip())
         return out
 
 
+def _column_width(sizes: list[int]) -> int:
+    """The widest line to which the others can be filled within the bound."""
+    sizes = sorted(sizes)
+    most, filled, width = PAD_LINE * len(sizes) + PAD_TEXT * sum(sizes), 0, 0
+    for n, size in enumerate(sizes):
+        filled += n * (size - width)
+        if filled > most:
+            break
+        width = size
+    return width
+
+
 def _number(value: str | None, default: int) -> int:
     m = re.match(r"\s*(-?\d{1,9})", value or "")
     return int(m[1]) if m else default

@@ -12,7 +12,11 @@ CASES = {
     "<ol reversed><li>x<li>y</ol>": "2. x\n1. y",
     "<table><tr><th>Name<th>Qty<tr><td>apple<td>1<tr><td>fig<td>22</table>": "Name   Qty\napple  1\nfig    22",
     "<table>stray<td>a<td>b<tr><td rowspan=2>c<td>d<tr><td>e</table>": "stray\n\na  b\nc  d\n   e",
-    "<table><tr><td colspan=2>wide cell<td>x<tr><td>1<td>2<td>3</table>": "wide cell  x\n1  2  3",
+    "<table><tr><td colspan=2>wide cell<td>x<tr><td>1<td>2<td>3</table>": "wide cell  x\n1  2       3",
+    "<table><tr><td>" + "w" * 61 + "<td>x<tr><td>1<td>2</table>": "w" * 61 + "  x\n1" + " " * 62 + "2",
+    "<table><tr><td>a<td>b<td>c<tr><td colspan=3>t</table>": "a  b  c\nt",
+    "<table><tr><td colspan=2>title<tr><td>aa<td>b<td>c<tr><td><td colspan=2>long cell</table>": "title\naa  b  c\n    long cell",
+    "<table><tr><td>" + "w" * 5000 + "<td>x" + "<tr><td>1<td>2" * 500 + "</table>": "w" * 5000 + "\n   x" + "\n1  2" * 500,
     "<pre>\n a  b\n  c</pre>d": " a  b\n  c\n\nd",
     "a<script>if (1 < 2) { '</p>' }</script>b<style>p{}</style><template>t</template>c": "abc",
     "<title>t</title><p hidden>h</p><p style='DISPLAY : none'>i</p>k": "k",
@@ -54,6 +58,17 @@ SEEN = {
     "<style>.p{display:none}</style><p class=p style='display:revert'>a<div class=p><p style='display:block'>b</div>": "a",
 }
 
+#: Pages with selectors of several compounds.
+SEEN |= {
+    "<style>div > p{display:none}</style><div><p>a<section><p>b</section></div><p>c": "b\n\nc",
+    "<style>.m li a{display:none}</style><ul class=m><li>x <a>y</a><ul><li><b><a>z</a></b>w</ul></ul><a>v</a>": "- x\n  - w\n\nv",
+    "<style>.m>.n .o{display:none} .o{display:block}</style><div class=m><i class=n><b class=o>a</b></i><b class=o>b</b></div>": "b",
+    "<style>.m .n > .o{visibility:hidden}</style><div class=m><div class=n><div class=n><p class=o>a</p><i><p class=o>b</div></div></div>": "b",
+    "<style>#i *{display:none}</style><div id=i>a<b>b</b></div>c": "a\nc",
+    "<style>body .h{display:none} body > .k{display:none}</style><p class=h>a<div><p class=k>b</div><p class=k>c": "b",
+    "<style>p + p{display:none} p[x]{display:none} p:first-child{display:none} > p{display:none} p >{display:none}</style><p x>a<p>b": "a\n\nb",
+}
+
 
 @pytest.mark.parametrize("page", list(SEEN))
 def test_seen_text_is_kept(page):
@@ -62,7 +77,7 @@ def test_seen_text_is_kept(page):
 
 @pytest.mark.parametrize("page", [
     "<" * 200_000, "<div>" * 60_000 + "x" + "</div>" * 60_000, "<!--" * 80_000, '<a b="' * 80_000, "&" * 200_000, "<ul><li>" * 20_000 + "y",
-    "<table><tr><td>" * 5_000 + "z", "<p>" * 80_000, "<style>" + "a{" * 80_000, "<style>" + "@m{" * 30_000, "<a " + "x" * 200_000 + ">k",
+    "<table><tr><td>" * 5_000 + "z", "<p>" * 80_000, "<style>" + "a{" * 80_000, "<style>" + "@m{" * 30_000, "<style>" + "a a " * 300 + "b{display:none}</style>" + "<a>" * 200 + "<b>x</b>" * 2_000, "<a " + "x" * 200_000 + ">k",
     "<a " + "= " * 80_000 + ">k", "word " * 200_000, "<table>" + "<tr><td>" + "c" * 100_000 + "<td>d" + "<tr><td>a<td>b" * 5_000])
 def test_hostile_pages_take_one_pass(page):
     began = time.time()
