@@ -38,6 +38,8 @@ MAX_DEPTH = 256
 PAD_LINE = 128
 PAD_TEXT = 4
 MAX_SPAN = 1000
+#: Answers on selectors and ancestors that are kept at a time.
+MEMO = 500_000
 INDENT_LEVELS = 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -300,16 +302,26 @@ def _chain(node: Node | None, chain: list[Compound]) -> Node | None:
     return node
 
 
-def _selects(selector: Selector, node: Node) -> bool:
-    """Each chain at the nearest ancestor it fits leaves the most to the next."""
-    at = _chain(node, selector[0])
-    for chain in selector[1:]:
-        above, at = at and at.up, None
-        while above is not None and (at := _chain(above, chain)) is None:
-            above = above.up
-        if at is None:
-            return False
-    return at is not None
+def _within(selector: Selector, k: int, node: Node | None, memo: dict) -> bool:
+    """Whether the chains from the k-th on fit ``node`` and what is above it."""
+    if k == len(selector):
+        return True
+    if node is None:
+        return False
+    key = (id(selector), k, id(node))
+    known = memo.get(key)
+    if known is None:
+        top = _chain(node, selector[k])
+        known = (top is not None and _within(selector, k + 1, top.up, memo)) or _within(selector, k, node.up, memo)
+        if len(memo) >= MEMO:
+            memo.clear()
+        memo[key] = known
+    return known
+
+
+def _selects(selector: Selector, node: Node, memo: dict) -> bool:
+    top = _chain(node, selector[0])
+    return top is not None and _within(selector, 1, top.up, memo)
 
 
 def _rules(sheet: str) -> list[Rule]:
@@ -340,7 +352,7 @@ def _rules(sheet: str) -> list[Rule]:
     return out
 
 
-def _shown(node: Node, seen: bool, rules: dict[str, list[Rule]]) -> tuple[bool, bool]:
+def _shown(node: Node, seen: bool, rules: dict[str, list[Rule]], memo: dict) -> tuple[bool, bool]:
     """(takes part in layout, its own text is visible): of each property the
     important, inline, more specific, later declaration counts."""
     attrs, tag = node.attrs, node.tag
@@ -357,7 +369,7 @@ def _shown(node: Node, seen: bool, rules: dict[str, list[Rule]]) -> tuple[bool,
         classes, name = set(attrs.get("class", "").split()), attrs.get("id", "")
         for key in (tag, "*", f"#{name}", *(f".{c}" for c in classes)):
             for selector, rank, declared in rules.get(key, ()):
-                if _selects(selector, node):
+                if _selects(selector, node, memo):
                     offer(declared, False, rank)
     if attrs.get("style"):
         offer(_declared(attrs["style"]), True, ())
@@ -509,6 +521,7 @@ def render(page: str) -> str:
     """The visible text of a page."""
     root = build(page)
     rules = visibility_rules(root)
+    memo: dict = {}
     boxes, tables, lists = [Box()], [], []
     # A stack of (node or text, its text is visible, preformatted, leave function).
     todo: list = [(root, True, False, None)]
@@ -522,7 +535,7 @@ def render(page: str) -> str:
             if seen:
                 box.put(node, pre)
             continue
-        shown, seen = _shown(node, seen, rules)
+        shown, seen = _shown(node, seen, rules, memo)
         if not shown:
             continue
         tag = node.tag

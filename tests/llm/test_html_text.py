@@ -77,7 +77,8 @@ def test_seen_text_is_kept(page):
 
 @pytest.mark.parametrize("page", [
     "<" * 200_000, "<div>" * 60_000 + "x" + "</div>" * 60_000, "<!--" * 80_000, '<a b="' * 80_000, "&" * 200_000, "<ul><li>" * 20_000 + "y",
-    "<table><tr><td>" * 5_000 + "z", "<p>" * 80_000, "<style>" + "a{" * 80_000, "<style>" + "@m{" * 30_000, "<style>" + "a a " * 300 + "b{display:none}</style>" + "<a>" * 200 + "<b>x</b>" * 2_000, "<a " + "x" * 200_000 + ">k",
+    "<table><tr><td>" * 5_000 + "z", "<p>" * 80_000, "<style>" + "a{" * 80_000, "<style>" + "@m{" * 30_000, "<style>" + "a a " * 300 + "b{display:none}</style>" + "<a>" * 200 + "<b>x</b>" * 2_000,
+    "<style>" + ".a .b{display:none}" * 2_000 + "</style>" + "<div>" * 200 + "<p class=b>x" * 500, "<a " + "x" * 200_000 + ">k",
     "<a " + "= " * 80_000 + ">k", "word " * 200_000, "<table>" + "<tr><td>" + "c" * 100_000 + "<td>d" + "<tr><td>a<td>b" * 5_000])
 def test_hostile_pages_take_one_pass(page):
     began = time.time()
