@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,10 +23,13 @@ def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 def nunique_profile(df: DataFrame, cols: Sequence[str] | None = None,
                     approx: bool = False) -> DataFrame:
     """A1: distinct non-null values per column. ``approx=True`` swaps in
-    HyperLogLog++ for very large tables."""
+    HyperLogLog++ for very large tables. The exact counts are one aggregate
+    per column: all in one would repeat every row once per column, as wide as
+    all columns together."""
     cols = list(cols or df.columns)
-    f = (lambda c: F.approx_count_distinct(c)) if approx else (lambda c: F.count_distinct(c))
-    return df.agg(*[f(c).alias(c) for c in cols]).unpivot([], cols, "column", "distinct")
+    if approx:
+        return df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).unpivot([], cols, "column", "distinct")
+    return reduce(DataFrame.unionByName, [df.agg(F.count_distinct(c).alias("distinct")).select(F.lit(c).alias("column"), "distinct") for c in cols])
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:
