@@ -14,6 +14,11 @@ from basketry.plans.registry import register
 ENC_COLS = ["size", "item_color", "user_title", "user_state", "item_id", "brand_id", "user_id"]
 
 
+def _encoded(df):
+    """The columns that the encoder reads or passes on to the result."""
+    return df.select("split", "order_item_id", "role", "returned", *ENC_COLS)
+
+
 def _split(spark, sf_dir):
     return E.split_by_month(FT.date_parts(clean_items(spark, sf_dir)))
 
@@ -55,7 +60,7 @@ def _loo_sql():
 def q_loo_encode(spark, sf_dir):
     """E1/E2/E3 (sigma = 0): leave-one-out encoding fitted on the train
     months, applied to the March hold-out."""
-    df = _split(spark, sf_dir)
+    df = _encoded(_split(spark, sf_dir))
     train, test = df.filter(F.col("role") == "train"), df.filter(F.col("role") == "test")
     tr, te = E.loo_encode(train, test, ENC_COLS, sigma=0.0)
     cols = ["split", "order_item_id", "role"] + [f"{c}_LOE_encoded" for c in ENC_COLS]
@@ -79,7 +84,7 @@ def _noise_sql():
 @register("loo_encode_noise", _noise_sql())
 def q_loo_encode_noise(spark, sf_dir):
     """E1 with N(1, 0.1) noise, drawn per row and column."""
-    df = _split(spark, sf_dir)
+    df = _encoded(_split(spark, sf_dir))
     train, test = df.filter(F.col("role") == "train"), df.filter(F.col("role") == "test")
     tr, _ = E.loo_encode(train, test, ENC_COLS, sigma=0.1, seed=42)
     return tr.select("split", "order_item_id", *[f"{c}_LOE_encoded" for c in ENC_COLS])
