@@ -108,6 +108,13 @@ def midpoint_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
     return [sum(1 << i for i in c) for n in range(radius // 2 + 1) for c in combinations(range(bits), n)]
 
 
+def _met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join by shuffle: the tables here follow the input, and files of sorted
+    numbers are so small beside their rows that the planner takes them for
+    small ones and gathers them on the driver to broadcast them."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _apart(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
@@ -121,7 +128,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         placed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "simhash-buckets")
     twos = buckets.where("n = 2").where(_apart(F.col("a"), F.col("b")) <= radius).select("a", "b")
 
-    crowded = placed.join(buckets.where("n > 2").select("t", "k", "n"), ["t", "k"])
+    crowded = _met(placed, buckets.where("n > 2").select("t", "k", "n"), ["t", "k"])
     crowded = materialize(crowded.select("t", "k", "n", "fp"), "simhash-crowded")
     small = crowded.where(F.col("n") <= BUCKET).groupBy("t", "k").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     near = F.transform("fps", lambda a: F.transform(
@@ -132,7 +139,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     flips = F.array(*[F.lit(_signed(m)) for m in midpoint_masks(radius)])
     sent = hot.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("mid"))
     met = sent.groupBy("mid").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b")
-    over = sent.join(met.select("mid", "a"), "mid").where("fp > a").select("a", F.col("fp").alias("b"))
+    over = _met(sent, met.select("mid", "a"), "mid").where("fp > a").select("a", F.col("fp").alias("b"))
     return twos.unionByName(compared).unionByName(over).distinct()
 
 
@@ -144,7 +151,8 @@ def components(edges: DataFrame) -> DataFrame:
     end in stars around the smallest members.
     """
     def smallest(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        # Written, so that the joins below shuffle it by itself and Spark can split a hot center.
+        return materialize(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "simhash-smallest")
 
     def state(pairs: DataFrame) -> tuple:
         return tuple(pairs.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first())
@@ -153,11 +161,11 @@ def components(edges: DataFrame) -> DataFrame:
     known = state(pairs)
     for _ in range(MAX_ROUNDS):
         both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = both.where("v > u").join(smallest(both), "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
+        large = _met(both.where("v > u"), smallest(both), "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
         large = materialize(large, "simhash-large")
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
         least = smallest(down)
-        small = (down.join(least, "u").where("v > m").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        small = (_met(down, least, "u").where("v > m").select(F.col("m").alias("a"), F.col("v").alias("b"))
                  .union(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct())
         pairs = materialize(small, "simhash-small")
         now = state(pairs)
@@ -175,10 +183,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
     distinct = materialize(prints.groupBy("fp").agg(keep.alias("keep")), "simhash-distinct")
     roots = components(links(distinct, radius))
-    rooted = distinct.join(roots, "fp", "left").select("fp", "keep", F.coalesce("root", "fp").alias("root"))
-    groups = rooted.groupBy("root").agg(F.min("keep").alias("keep"))
-    named = materialize(rooted.select("fp", "root").join(groups, "root").select("fp", "keep"), "simhash-named")
-    return prints.join(named, "fp").select("id", "key", "fp", F.col("keep.id").alias("component"),
+    rooted = materialize(_met(distinct, roots, "fp", "left").select("fp", "keep", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
+    groups = materialize(rooted.groupBy("root").agg(F.min("keep").alias("keep")), "simhash-groups")
+    named = materialize(_met(rooted.select("fp", "root"), groups, "root").select("fp", "keep"), "simhash-named")
+    return _met(prints, named, "fp").select("id", "key", "fp", F.col("keep.id").alias("component"),
                                            F.col("keep.id").alias("keep_id"), F.col("keep.key").alias("keep_key"))
 
 

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from basketry.llm import simhash
+from basketry.session import materialize
 
 from .brute import component_ids, fingerprint
 
@@ -69,3 +70,17 @@ def test_one_row_of_each_group_stays(spark):
 def test_empty_table(spark):
     assert simhash.near_duplicates(_docs(spark, [(1, "a")]).limit(0)).count() == 0
     assert simhash.keep_one(_docs(spark, [(1, "a")]).limit(0)).count() == 0
+
+
+def test_no_table_is_gathered_to_be_broadcast(spark, monkeypatch):
+    """Every join names the shuffle: no size, guessed or measured, makes it a broadcast."""
+    plans = []
+
+    def written(df, *args):
+        plans.append(df)
+        return materialize(df, *args)
+    monkeypatch.setattr(simhash, "materialize", written)
+    rows = [(i, f"a b c d e{i // 3}") for i in range(30)]
+    plans.append(simhash.near_duplicates(_docs(spark, rows)))
+    joins = [line for df in plans for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert len(joins) >= 8 and all("strategy=merge" in line for line in joins)
