@@ -196,5 +196,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     kept = kept.where(F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("key") == F.col("keep_key")))
     kept = materialize(kept.select(F.col("id").alias("__keep_id"), F.col("key").alias("__keep_key")).distinct(), "simhash-kept")
     keyed = docs.withColumn("__key", F.xxhash64(text_col))
-    own = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("__keep_id")) & (F.col("__key") == F.col("__keep_key")), "left_semi")
+    own = _met(keyed, kept, F.col(id_col).eqNullSafe(F.col("__keep_id")) & (F.col("__key") == F.col("__keep_key")), "left_semi")
     return own.dropDuplicates([id_col, "__key"]).drop("__key")

@@ -81,6 +81,6 @@ def test_no_table_is_gathered_to_be_broadcast(spark, monkeypatch):
         return materialize(df, *args)
     monkeypatch.setattr(simhash, "materialize", written)
     rows = [(i, f"a b c d e{i // 3}") for i in range(30)]
-    plans.append(simhash.near_duplicates(_docs(spark, rows)))
+    plans.append(simhash.keep_one(_docs(spark, rows)))
     joins = [line for df in plans for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
     assert len(joins) >= 8 and all("strategy=merge" in line for line in joins)
