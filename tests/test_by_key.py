@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 from decimal import Decimal
 
 import pytest
@@ -56,3 +57,26 @@ def test_statistics(spark, value, stats, hot_rows):
 def test_rows_are_dealt_once_for_all_groupings_of_a_key(spark):
     plan = FT.user_nunique(_rows(spark))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Generate" not in plan and "Join" not in plan
+
+
+def test_statistics_travel_as_whole_numbers_and_come_back_exactly(spark):
+    """Between the windows a grouping takes three numbers, not seven; the sign of a zero stays."""
+    values = [0.0, -0.0, 0.01, -0.01, 5.23, -5.23, 1048.57, -1048.57, 10485.75, -2.5]
+    names = [f"v_{s}" for s in FT.DELIVERY_STATS7]
+    rows = [tuple(values[(i * k) % len(values)] for k in range(1, 8)) for i in range(10)] + [(None,) * 7]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
+    tight = df.select(*BK.packed(names, FT.DELIVERY_STATS7, "_p_"))
+    assert tight.columns == ["_p_0", "_p_1", "_p_2"] and {t for _, t in tight.dtypes} == {"bigint"}
+    assert sorted(map(str, tight.select(*BK.unpacked(names, FT.DELIVERY_STATS7, "_p_")).collect())) == sorted(map(str, df.collect()))
+    assert BK.packs(1000, FT.DELIVERY_STATS7) and not BK.packs(5243, FT.DELIVERY_STATS7) and not BK.packs(9, FT.PRICE_STATS) and not BK.packs(None, FT.DELIVERY_STATS7)
+
+
+def test_earlier_statistics_cross_the_second_shuffle_packed(spark):
+    groupings = [["item_id", "size"], ["item_id", "user_id"], ["user_id", "size"]]
+    got = BK.attach_stats(_rows(spark), groupings, "delivery_time", FT.DELIVERY_STATS7, ("user_id", "item_id"), small=1)
+    plan = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    deals = [i for i, line in enumerate(plan) if "Exchange " in line]
+    dealt = plan[deals[0] + 1].partition("[")[2]
+    named = {c.split(" AS ")[-1].split("#")[0].strip() for c in re.split(r", (?![^(]*\))", dealt)}
+    assert len(deals) == 2 and {"_packed_0_0", "_packed_0_1", "_packed_0_2"} <= named
+    assert not any(c.startswith("delivery_time_") for c in named) and BK.KEY_HASH not in named
